@@ -1,5 +1,67 @@
-"""The corpus pipeline: toxicity, line dedup, near-dedup, decontamination, tokens."""
+"""The corpus pipeline: toxicity, line dedup, SimHash near-dedup, benchmark decontamination, BPE.
+
+Each stage works on everything its predecessor kept and takes (spark, docs, sf_dir). All but the last
+return the columns of documents (doc_id, text, lang, source, n_chars); n_chars follows the text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioflow.llm import bpe, decontaminate, line_dedup, simhash, toxicity
+from folioflow.llm.queries import tokenizer_path
+from folioflow.llm.shared import stored
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: SQL cannot express the toxicity, near-dedup and decontamination stages.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose predicted label is toxic go."""
+    return toxicity.without_toxic(docs, _table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand in ten or more documents go; a document that has no other line is empty and stays."""
+    kept = line_dedup.line_dedup(docs).withColumnRenamed("kept_text", "text")
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays; a repeated row of it stays once."""
+    components = simhash.simhash_components(docs)
+    first = stored(components.where("doc_id <=> component_id").select(F.col("doc_id").alias("first")).distinct(), "representatives")
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["first"]), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.without_leaks(docs, _table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document that is left."""
+    return bpe.bpe_digests(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("simhash", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("bpe", tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's result is written to the shared folder and read again."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
