@@ -46,7 +46,8 @@ class Cut:
 
 
 @functools.cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hashes' multiplier and of its inverse, for texts of less than 2**bits bytes."""
     n = (1 << bits) + 1
     inverse = pow(_MULTIPLIER, -1, 1 << 64)
     up, down = np.full(n, _MULTIPLIER, np.uint64), np.full(n, inverse, np.uint64)
@@ -55,11 +56,11 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.cache
-def _byte_values() -> np.ndarray:
+def byte_values() -> np.ndarray:
     return np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
 
@@ -103,10 +104,10 @@ def segments(texts: list[bytes], cut: Cut, level: int = 0) -> tuple[np.ndarray,
     start = np.concatenate([p[1] + o for p, o in zip(parts, offsets, strict=False)])
     stop = np.concatenate([p[2] + o for p, o in zip(parts, offsets, strict=False)])
     text_of = np.repeat(np.arange(len(texts)), counts)
-    up, down = _powers(max(16, int(len(whole)).bit_length()))
+    up, down = powers(max(16, int(len(whole)).bit_length()))
     sums = np.zeros(len(whole) + 1, np.uint64)
-    np.cumsum(_byte_values()[np.frombuffer(whole, np.uint8)] * up[: len(whole)], out=sums[1:])
-    hashes = _mixed((sums[stop[gram - 1 :]] - sums[start[: n - gram + 1]]) * down[start[: n - gram + 1]])
+    np.cumsum(byte_values()[np.frombuffer(whole, np.uint8)] * up[: len(whole)], out=sums[1:])
+    hashes = mixed((sums[stop[gram - 1 :]] - sums[start[: n - gram + 1]]) * down[start[: n - gram + 1]])
     mask = np.uint64((1 << n.bit_length()) - 1)
     least = _least((hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64), limit) & mask  # ties: the leftmost
     valid = text_of[: n - length + 1] == text_of[length - 1 :]
@@ -118,7 +119,7 @@ def segments(texts: list[bytes], cut: Cut, level: int = 0) -> tuple[np.ndarray,
     windows = np.bincount((np.cumsum(begins) - 1)[valid], minlength=len(at))
     content = [whole[a:b] for a, b in zip(start[at].tolist(), stop[at + windows + length - 2].tolist(), strict=True)]
     base = np.cumsum(counts) - counts
-    return text_of[at], at - base[text_of[at]], windows, _mixed(hashes[least[at]] ^ np.uint64(level)), content
+    return text_of[at], at - base[text_of[at]], windows, mixed(hashes[least[at]] ^ np.uint64(level)), content
 
 
 def _hashes(contents: list[bytes]) -> np.ndarray:
