@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,10 +21,12 @@ BLANK_BYTES[[9, 10, 11, 12, 13, 32]] = True
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="folioflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    return root.rstrip("/") if root else _own_root(spark.sparkContext.applicationId)
+
+
+@functools.cache
+def _own_root(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="folioflow-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
