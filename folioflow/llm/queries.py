@@ -34,6 +34,16 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+ORACLES["op1_substring_dedup"] = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+windows as (select doc_id, i, array_to_string(ws[i:i+34], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 33)) as i from w) u),
+gone as (select distinct doc_id, unnest(range(i, i + 35)) as p from (select *, count(*) over (partition by k) as n from windows) c where n > 1),
+lists as (select doc_id, list(p) as ps, count(*) as n from gone group by doc_id)
+select w.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n, 0) as n_removed,
+  sha256(array_to_string(case when ps is null then ws else list_filter(ws, lambda x, i: not list_contains(ps, i)) end, ' ')) as kept_sha256
+from w left join lists l on l.doc_id = w.doc_id"""
+
+
 @_query
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents"))
@@ -52,6 +62,22 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_cascade(_table(spark, sf_dir, "documents"))
 
 
+ORACLES["op4_quality_rules"] = r"""
+with w as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+windows as (select doc_id, i, array_to_string(ws[i:i+7], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from w) u),
+again as (select doc_id, count(*) as n from (select distinct doc_id, unnest(range(i, i + 8)) as p from (select *, count(*) over (partition by doc_id, k) as n from windows) c where n > 1) d group by doc_id),
+m as (
+  select w.doc_id, cast(len(ws) as bigint) as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+    len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) as n_dup_lines,
+    coalesce(again.n, 0) as n_repeat_words, length(regexp_replace(text, '[^!]', '', 'g')) as shouts, length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) as capitals, length(regexp_replace(text, '[^\p{L}]', '', 'g')) as letters,
+    len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i-1])) as stutters, len(ls) as n_lines
+  from w left join again on again.doc_id = w.doc_id),
+b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, cast(n_dup_lines as bigint) as n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or 5 * n_symbols > n_words or 5 * shouts > n_words or 2 * capitals > letters or 10 * stutters > 3 * n_words or 2 * n_dup_lines > n_lines or word_chars > 40 * n_words) as kept
+from b"""
+
+
 @_query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
@@ -94,6 +120,15 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+ORACLES["op9_warc"] = r"""
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
+b as (select *, array_to_string([lpad(bin(cast(strpos('0123456789abcdef', substr(hex, i, 1)) - 1 as bigint)), 4, '0') for i in range(1, 41)], '') as bits, min(page_id) over (partition by html) as first from p)
+select page_id, octet_length(encode(html)) as payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(list_sum([cast(substr(bits, 5 * g + j, 1) as int) * (1 << (5 - j)) for j in range(1, 6)]) as int), 1) for g in range(32)], '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from b"""
+
+
 @_query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
