@@ -103,7 +103,7 @@ def substring_dedup(docs: DataFrame, window_words: int = WINDOW_WORDS, id_col: s
     A null id is an id like any other. Empty input gives no rows.
     """
     base = id_and_text(docs, id_col, text_col)
-    grams = (max(1, window_words // 4), max(1, window_words * 2 // 3), window_words)
+    grams = tuple(max(1, window_words * k // 35) for k in (8, 23, 31, 35))
     spans = repeated_windows(base, Cut(window_words, grams, True), matched)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,7 +83,7 @@ def suffix_array_dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str
     rows that repeat a document repeat its strings. A cut may fall inside a character, so kept is binary.
     """
     base = id_and_text(docs, id_col, text_col)
-    grams = (max(1, min_bytes // 6), max(1, min_bytes * 3 // 4), min_bytes)
+    grams = tuple(max(1, min_bytes * k // 200) for k in (33, 150, 185, 200))
     spans = repeated_windows(base, Cut(min_bytes, grams, False), repeats)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

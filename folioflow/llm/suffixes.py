@@ -6,7 +6,7 @@ import numpy as np
 
 
 def suffix_order(text: np.ndarray, depth: int, packed: int = 1, bits: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """The cyclic suffixes in order of their first depth symbols at least (ties by position), and each position's place.
+    """The cyclic suffixes in order of their first depth symbols at least (in any order where those are equal), and each position's place.
 
     packed: how many symbols of so many bits are compared at once to begin with.
     """
@@ -16,7 +16,7 @@ def suffix_order(text: np.ndarray, depth: int, packed: int = 1, bits: int = 8) -
     while known * 2 <= packed:
         first = first << np.uint64(bits * known) | np.roll(first, -known)
         known *= 2
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     sorted_first = first[order]
     heads = np.append(True, sorted_first[1:] != sorted_first[:-1])
     starts = np.flatnonzero(heads)
@@ -28,7 +28,7 @@ def suffix_order(text: np.ndarray, depth: int, packed: int = 1, bits: int = 8) -
         ahead = active + known
         ahead[ahead >= n] -= n
         key = rank[active].astype(np.uint64) << np.uint64(32) | rank[ahead].astype(np.uint64)
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         active, key = active[by], key[by]
         own = key >> np.uint64(32)
         group = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
@@ -38,7 +38,7 @@ def suffix_order(text: np.ndarray, depth: int, packed: int = 1, bits: int = 8) -
         rank[active] = np.repeat(own[part].astype(np.int64) + part - of_group, sizes)
         active = active[np.repeat(sizes > 1, sizes)]
         known *= 2
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     return order, place
