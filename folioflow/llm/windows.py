@@ -214,7 +214,8 @@ def _resolve(occurring: DataFrame, cut: Cut, solve: Solver, level: int) -> list[
             once = [x.withColumnRenamed("windows", "found") for x in _resolve(stored(merged.join(keys, "key"), "split-index"), cut, solve, level + 1)]
             for x in once:
                 twice = twice.unionByName(x)
-        places = below.select("up_key", "up_chash", "up_skip", "windows", "key", "chash").join(twice, ["key", "chash"])
+        # a segment found twice is known to be repeated all over: only the others ask
+        places = below.where("n = 1").select("up_key", "up_chash", "up_skip", "windows", "key", "chash").join(twice, ["key", "chash"])
         places = places.select(
             F.col("up_key").alias("key"), F.col("up_chash").alias("chash"), (F.col("up_skip") + F.col("skip")).alias("skip"), F.coalesce("found", "windows").alias("windows")
         )
