@@ -17,16 +17,17 @@ def suffix_order(text: np.ndarray, depth: int, packed: int = 1, bits: int = 8) -
         first = first << np.uint64(bits * known) | np.roll(first, -known)
         known *= 2
     order = np.argsort(first)
-    sorted_first = first[order]
-    heads = np.append(True, sorted_first[1:] != sorted_first[:-1])
-    starts = np.flatnonzero(heads)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
-    single = np.diff(np.append(starts, n)) == 1
-    active = order[~np.repeat(single, np.diff(np.append(starts, n)))]
+    first = first[order]
+    starts = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+    del first
+    sizes = np.diff(np.append(starts, n))
+    rank = np.empty(n, np.int32)
+    rank[order] = np.repeat(starts.astype(np.int32), sizes)
+    active = order[np.repeat(sizes > 1, sizes)].astype(np.int32)
+    del order
     while known < depth and len(active):
-        ahead = active + known
-        ahead[ahead >= n] -= n
+        ahead = active + np.int32(known)
+        ahead[ahead >= n] -= np.int32(n)
         key = rank[active].astype(np.uint64) << np.uint64(32) | rank[ahead].astype(np.uint64)
         by = np.argsort(key)
         active, key = active[by], key[by]
@@ -35,7 +36,7 @@ def suffix_order(text: np.ndarray, depth: int, packed: int = 1, bits: int = 8) -
         part = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         of_group = group[np.searchsorted(group, part, side="right") - 1]
         sizes = np.diff(np.append(part, len(key)))
-        rank[active] = np.repeat(own[part].astype(np.int64) + part - of_group, sizes)
+        rank[active] = np.repeat((own[part].astype(np.int64) + part - of_group).astype(np.int32), sizes)
         active = active[np.repeat(sizes > 1, sizes)]
         known *= 2
     order = np.argsort(rank)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import BLANK_BYTES, dropped, groups_by_size, id_and_text, shuffle_partitions, stored, text_bytes
 
 #: Bytes that are cut into windows at a time, and bytes of segments in one shard's index.
-CHUNK_BYTES, SHARD_BYTES = 1 << 20, 4 << 20
+CHUNK_BYTES, SHARD_BYTES = 1 << 20, 2 << 20
 #: Different segments of one key beyond which the key is split.
 HOT_SEGMENTS = 256
 _MULTIPLIER = 0x9E3779B97F4A7C15
