@@ -102,6 +102,21 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ORACLES["op6_suffix_array_dedup"] = r"""
+with b as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+windows as (select doc_id, unnest(range(1, n - 198)) as i, unnest([md5(substr(h, 2 * i - 1, 400)) for i in range(1, n - 198)]) as k from b),
+again as (select doc_id, i from (select *, count(*) over (partition by k) as c from windows) w where c > 1),
+runs as (
+  select doc_id, min(i) as s, max(i) + 199 as e
+  from (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as g from (select *, case when i - lag(i) over (partition by doc_id order by i) <= 200 then 0 else 1 end as fresh from again) f) r
+  group by doc_id, g),
+lists as (select doc_id, list(s order by s) as ss, list(e order by s) as ee, sum(e - s + 1) as n_removed, count(*) as n_spans from runs group by doc_id),
+joined as (select b.*, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, list_append(coalesce(ss, []), n + 1) as ss, list_prepend(0, coalesce(ee, [])) as ee from b left join lists l on l.doc_id = b.doc_id)
+select doc_id, n as n_bytes, cast(n_removed as bigint) as n_removed, n_spans,
+  sha256(unhex(array_to_string([substr(h, 2 * ee[k] + 1, 2 * (ss[k] - ee[k] - 1)) for k in range(1, n_spans + 2)], ''))) as kept_sha256
+from joined"""
+
+
 @_query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
