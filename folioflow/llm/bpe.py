@@ -8,9 +8,9 @@ targets depend on the token read alone, a copy shares everything with its origin
 transition, so a state is a pointer to its original and the transition that the copy lost.
 Transitions are looked up in a table that fills as they are first used.
 
-Encoding walks a word's bytes: every prefix has exactly one accepted path, so one pass over the
-positions, a vocabulary trie and the transition table give the path. Decoding emits the byte
-labels of the arcs.
+Encoding walks a word's bytes: a vocabulary trie offers the arcs at a place, the transition table says
+which the automaton has, and every prefix has exactly one accepted path. Decoding emits the byte labels
+of the arcs.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +47,9 @@ _NEWER = "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER)
 _L, _N = rf"[\p{{L}}--[{_NEWER}]]", rf"[\p{{N}}--[{_NEWER}]]"
 SPLIT_WITH_NEWER = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{_L}+| ?{_N}+| ?[[^\s\p{{L}}\p{{N}}]||[{_NEWER}]]+|\s+(?!\S)|\s+"
 #: Distinct words whose ids a worker remembers.
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
+#: Transitions that a worker remembers.
+TABLE_CACHE = 500_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -120,34 +123,50 @@ class BpeAutomaton:
         key = state << 24 | token
         known = self.table.get(key)
         if known is None:
-            if len(self.table) >= 2_000_000:
+            if len(self.table) >= TABLE_CACHE:
                 self.table.clear()
             known = self.table[key] = self._allowed(state, token)
         return known
 
     def encode_word(self, word: bytes) -> list[int]:
-        """The ids of one pre-split word."""
-        n = len(word)
-        path: list[int] = [-1] * (n + 1)
-        trie, token_at, state_of = self.trie, self.token_at, self.state_of
-        for start in range(n):
-            if start and path[start] < 0:
-                continue
-            state = state_of[path[start]] if start else 0
-            node, at = 0, start
-            while at < n:
-                node = trie.get(node << 8 | word[at], 0)
-                if not node:
+        """The ids of one pre-split word: longest arcs first, back where no arc goes on.
+
+        A place is reached by one accepted path only, so a place without a way on is never tried again.
+        """
+        n, trie, token_at, state_of, table = len(word), self.trie, self.token_at, self.state_of, self.table
+        path: list[int] = []
+        ways: list[list[tuple[int, int]]] = []  # for each place on the path the arcs not tried yet, the longest last
+        dead: set[int] = set()
+        at = state = 0
+        fresh = True
+        while at < n:
+            if fresh:
+                arcs, node, end = [], 0, at
+                while end < n:
+                    node = trie.get(node << 8 | word[end], 0)
+                    if not node:
+                        break
+                    end += 1
+                    if token_at[node] >= 0:
+                        arcs.append((token_at[node], end))
+                ways.append(arcs)
+            arcs = ways[-1]
+            fresh = False
+            while arcs:
+                token, end = arcs.pop()
+                if end in dead:
+                    continue
+                known = table.get(state << 24 | token)
+                if known if known is not None else self.allowed(state, token):
+                    path.append(token)
+                    at, state, fresh = end, state_of[token], True
                     break
-                at += 1
-                token = token_at[node]
-                if token >= 0 and path[at] < 0 and self.allowed(state, token):
-                    path[at] = token
-        out = []
-        while n:
-            out.append(path[n])
-            n -= len(self.labels[path[n]])
-        return out[::-1]
+            if not fresh:
+                dead.add(at)
+                ways.pop()
+                at -= len(self.labels[path.pop()])
+                state = state_of[path[-1]] if path else 0
+        return path
 
     def split(self, text: str) -> list[str]:
         """The pre-split words."""
@@ -184,7 +203,8 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= WORD_CACHE:
             self.clear()
-        ids = np.array(self.automaton.encode_word(word.encode()), dtype="<u4").tobytes()
+        path = self.automaton.encode_word(word.encode())
+        ids = struct.pack(f"<{len(path)}I", *path)
         if len(word) <= 64:
             self[word] = ids
         return ids
