@@ -12,6 +12,7 @@ from .functions import geometry, mrz, national_id, text
 from .inputs import derived
 from .operators import detections, images, layout, state
 from .plans import envelope, process, routing
+from .sources import images as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -672,6 +673,68 @@ def img_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "height", "width", F.hex("data").alias("data"), F.array_join("skipped", ",").alias("skipped"))
 
 
+# --- sources, small predicates, statistics ---------------------------------------------------------
+
+_REQUESTS = """select page_id, case page_id % 5 when 0 then url when 1 then '/data/' || cast(page_id as string) when 2 then 'scanner' when 3 then 'http_local' else '?' end as input_data,
+  case page_id % 3 when 0 then 'bytes' else 'auto' end as input_type, case page_id % 4 when 0 then 'up' end as upload, case page_id % 6 when 0 then 'got' end as got from pages"""
+
+
+@query(
+    f"""select page_id, case when starts_with(input_data, 'http') then 'url' when starts_with(input_data, '/data/') and page_id % 2 = 0 then 'file' when input_data = 'scanner' then 'scanner' end as kind,
+  coalesce(upload, got) as content, case when upload is not null then 'bytes' end as upload_kind, case when coalesce(upload, got) is null then 'ValueError' end as error, true as given from ({_REQUESTS}) r"""
+)
+def source_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = derived(spark, sf_dir, _REQUESTS)
+    listing = requests.where("page_id % 2 = 0 and input_data like '/data/%'").select(F.col("input_data").alias("path"))
+    chosen = sources.chosen_bytes(F.col("upload"), F.col("got"))
+    return sources.dispatched(requests, listing).select("page_id", "kind", chosen["content"].alias("content"), chosen["kind"].alias("upload_kind"), chosen["error"].alias("error"), envelope.input_given(F.col("input_type"), F.col("input_data")).alias("given"))
+
+
+_RAGGED = "select doc_id, replace(replace(text, '. ', '. ' || chr(10) || '   ' || chr(10)), ',', chr(9)) as text from documents"
+
+
+@query(
+    f"""select doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(160))), lambda x: x <> ''), chr(10)) as lines,
+  case when length(text) > 100 then substr(text, 1, 100) || '...' else text end as shown, replace(text, ' ', '') as joined from ({_RAGGED}) r"""
+)
+def text_lines_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return derived(spark, sf_dir, _RAGGED).select("doc_id", text.nonblank_lines(t).alias("lines"), text.shortened(t).alias("shown"), F.replace(t, F.lit(" "), F.lit("")).alias("joined"))
+
+
+@query(f"select doc_id, (list_sort(list(h)))[count(*) // 2 + 1] as upper, median(h) as middle, avg(case when h > 20 then 1.0::double else 0.0::double end) as dense from ({inputs.TOKENS}) t group by doc_id")
+def token_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = derived(spark, sf_dir, inputs.TOKENS).groupBy("doc_id").agg(F.collect_list("h").alias("hs"), F.median("h").alias("middle"))
+    return packed.select("doc_id", layout.upper_median(F.col("hs")).alias("upper"), "middle", images.edge_density(F.transform("hs", lambda h: F.greatest(h - 20, F.lit(0.0)))).alias("dense"))
+
+
+@query(f"select doc_id, ord, row_number() over (partition by doc_id order by y1, ord) as place, text from ({inputs.TOKENS}) t")
+def tokens_by_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.by_top(derived(spark, sf_dir, inputs.TOKENS))
+
+
+@query(
+    f"""select doc_id, ord, least(tx, rx) as left_x, case when area then 'flat' else 'box' end as kind, cast(trunc(w * 1.0) as int) as width from (
+  select doc_id, ord, x1 as tx, x1 + w as rx, w, h = 0 as area from ({inputs.TOKENS}) t) q"""
+)
+def corner_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = derived(spark, sf_dir, inputs.TOKENS)
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x, y, w, h = (F.col(c) for c in ("x1", "y1", "w", "h"))
+    corners = geometry.ordered_corners(F.array(point(x + w, y + h), point(x, y), point(x + w, y), point(x, y + h)))
+    kind = F.when(h == 0, "flat").otherwise("box")
+    return t.select("doc_id", "ord", corners["tl"]["x"].alias("left_x"), kind.alias("kind"), geometry.rectified_size(corners)["width"].alias("width"))
+
+
+@query("select o_orderkey as doc_id, 'ok' as status, 'Unknown' as birth_date, 'ذكر' as gender, 'مسلم' as religion, 'Invalid MRZ format' as mrz_message from orders")
+def template_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The template route's constants for every document, through the real parsers."""
+    docs = inputs.tables(spark, sf_dir, "orders")["orders"].select(F.col("o_orderkey").alias("doc_id"), F.lit("Sample ID").alias("nid"), F.lit("ذكر مسلم").alias("demo"), F.lit("Sample MRZ Text").alias("zone"))
+    people = national_id.demographics(F.col("demo"))
+    read = mrz.parsed(docs, F.replace(F.col("zone"), F.lit(" "), F.lit("")))
+    return read.select("doc_id", F.lit("ok").alias("status"), national_id.decode(F.col("nid"))["birth_date"].alias("birth_date"), people["gender"].alias("gender"), people["religion"].alias("religion"), F.col("mrz.status_message").alias("mrz_message"))
+
+
 # --- the whole way --------------------------------------------------------------------------------
 
 

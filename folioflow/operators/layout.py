@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ARABIC, ARABIC_RANGE, repair_arabic
@@ -49,16 +49,10 @@ def lines(tokens: DataFrame, doc: str = "doc_id", min_confidence: float = 0.5) -
     joined = F.array_sort(F.zip_with("of", "tokens", lambda n, t: F.struct(n.alias("line"), t["cx"].alias("cx"), t["cy"].alias("cy"), t["ord"].alias("ord"), t["text"].alias("text"))))
     rows = numbered.select(doc, F.posexplode(joined).alias("at", "t"))
     base = rows.select(doc, "at", "t.line", "t.ord", "t.text")
-    heads = F.min("at").over(_by(doc, "line"))
+    heads = F.min("at").over(Window.partitionBy(doc, "line"))
     return base.select(doc, "line", (F.col("at") - heads).cast("long").alias("place"), "ord", "text")
 
 
-def _by(*names: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*names)
-
-
 def text(tokens: DataFrame, doc: str = "doc_id", primary: str = "en", min_confidence: float = 0.5) -> DataFrame:
     """doc, text: lines joined by a line end. A line runs right to left if over 30 % of its characters are Arabic or the primary language is."""
     placed = lines(tokens, doc, min_confidence)
@@ -70,3 +64,9 @@ def text(tokens: DataFrame, doc: str = "doc_id", primary: str = "en", min_confid
     shown = per_line.select(doc, "line", rendered.alias("shown"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("line", "shown"))), lambda s: s["shown"])
     return shown.groupBy(doc).agg(F.array_join(parts, "\n").alias("text"))
+
+
+def by_top(tokens: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """doc, ord, place, text: tokens by the top of their box, ties in their own order."""
+    place = F.row_number().over(Window.partitionBy(doc).orderBy("y1", "ord"))
+    return tokens.select(doc, "ord", place.cast("long").alias("place"), "text")

@@ -25,6 +25,22 @@ NUMBER_REGIONS = ("nid", "dob", "nid_back", "expiry", "id_number")
 ARABIC_REGIONS = ("name_arabic", "address_arabic")
 
 
+LOG_LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
+RESPONSE_HEADERS = {
+    "X-Content-Type-Options": "nosniff",
+    "X-Frame-Options": "DENY",
+    "X-XSS-Protection": "1; mode=block",
+    "Strict-Transport-Security": "max-age=31536000; includeSubDomains",
+    "Content-Security-Policy": "default-src 'self'",
+    "Referrer-Policy": "strict-origin-when-cross-origin",
+}
+
+
+def log_level(level: Column) -> Column:
+    """The level in capitals; null if there is none of that name."""
+    return F.when(F.upper(level).isin(*LOG_LEVELS), F.upper(level))
+
+
 def document_type(value: Column) -> Column:
     """The type's name by its value; null if there is none."""
     return lookup({v: k for k, v in DOCUMENT_TYPES.items()}, value)
