@@ -4,7 +4,7 @@ Line hashes are range-partitioned by (hash, document, position), so that a line
 stands in a third of all documents is spread over many partitions, and sorted by
 document and position inside them. A window over that order streams the first
 occurrence of each line in each document; those are counted per line. Lines to drop
-come back as sparse bitmaps (64 lines a word, words without a dropped line left out),
+come back as sparse bitmaps (pages of 4096 lines, pages without a dropped line left out),
 one per document; text is never grouped or moved by line.
 """
 
@@ -34,7 +34,7 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def drop_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document with a dropped line: doc, version (hash of its text) and bits, a map from line number div 64 to a word of bits.
+    """Per document with a dropped line: doc, version (hash of its text) and bits, a map from line number div 4096 to 64 words of bits.
 
     A document is a pair of id and text: a repeated row counts once, and rows that share an id
     but not a text are different documents. A null id is an id like any other. Empty input gives no rows.
@@ -61,7 +61,11 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col
         .groupBy("doc", "version", F.shiftright("pos", 6).alias("word"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos") % 64)).alias("bits"))
     )
-    return words.groupBy("doc", "version").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits"))
+    # a page has 64 words, so that finding a bit of a very long document stays cheap
+    filled = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at(F.col("own"), i), F.lit(0).cast("long")))
+    pages = words.groupBy("doc", "version", F.shiftright("word", 6).alias("page")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("word") % 64, "bits"))).alias("own"))
+    pages = pages.select("doc", "version", "page", filled.alias("bits"))
+    return pages.groupBy("doc", "version").agg(F.map_from_entries(F.collect_list(F.struct("page", "bits"))).alias("bits"))
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,10 +83,9 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     base = docs.select(*[F.col(f"`{c}`") for c in kept_columns], text.alias("__text"), F.xxhash64(text).alias("__row"))
     joined = base.join(bitmaps, base[f"`{id_col}`"].eqNullSafe(bitmaps["__doc"]) & (F.col("__row") == F.col("__version")), "left")
     lines = F.split("__text", "\n", -1)
-    stays = F.filter(
-        "__lines",
-        lambda line, i: F.call_function("shiftrightunsigned", F.coalesce(F.try_element_at(F.col("__bits"), F.shiftright(i, 6)), F.lit(0).cast("long")), i % 64).bitwiseAND(F.lit(1).cast("long")) == 0,
-    )
+    word = lambda i: F.get(F.try_element_at(F.col("__bits"), F.shiftright(i, 12)), F.shiftright(i, 6) % 64)
+    bit = lambda i: F.call_function("shiftrightunsigned", F.coalesce(word(i), F.lit(0).cast("long")), i % 64).bitwiseAND(F.lit(1).cast("long"))
+    stays = F.filter("__lines", lambda line, i: bit(i) == 0)
     out = joined.withColumn("__lines", lines).withColumn("__kept", F.when(F.col("__bits").isNull(), F.col("__lines")).otherwise(stays))
     return out.select(
         *[F.col(f"`{c}`") for c in kept_columns],

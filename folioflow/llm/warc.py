@@ -186,6 +186,9 @@ def write_archives(pages: DataFrame, path: str, min_payload_bytes: int = 0, id_c
         yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], names=["written"])
 
     rows.mapInArrow(write, "written long").agg(F.sum("written")).collect()
+    spark = pages.sparkSession
+    none = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-none")  # so that an empty table can be read back
+    none.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(none)
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:

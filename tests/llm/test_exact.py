@@ -126,6 +126,15 @@ def test_lines(docs, corpus, monkeypatch, min_docs, hot):
     assert rows_of(out, "doc_id", "n_lines", "n_dropped", "kept_text") == sorted(map(repr, brute_lines(corpus, min_docs)))
 
 
+def test_lines_of_a_very_long_document(spark):
+    long = "\n".join("common" if i % 3 else f"own {i}" for i in range(30_000))
+    rows = [(0, long)] + [(i, "common\nx") for i in range(1, 12)]
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[0]["n_lines"], got[0]["n_dropped"]) == (30_000, 20_000)
+    assert got[0]["kept_text"] == "\n".join(f"own {i}" for i in range(0, 30_000, 3))
+    assert got[1]["kept_text"] == ""
+
+
 def test_line_plan_has_no_python(docs):
     plan = line_dedup.line_dedup(docs)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "Cartesian"))

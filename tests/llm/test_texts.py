@@ -185,6 +185,7 @@ def test_archives(spark):
         assert (r["record_type"], r["refers_to"]) == (("response", None) if i == first else ("revisit", first))
         assert (bytes(r["payload"]) == body) if i == first else r["payload"] is None
     assert warc.warc_round_trip(pages(spark, [])).count() == 0
+    assert warc.warc_round_trip(pages(spark, rows).where("page_id < 0")).count() == 0
     small = warc.warc_round_trip(pages(spark, [(1, "u", "ab", None), (2, "u", "ab", None), (3, "u", "abc", None), (4, "u", "abc", None)]), 3).collect()
     assert {(r["page_id"], r["record_type"]) for r in small} == {(1, "response"), (2, "response"), (3, "response"), (4, "revisit")}
 
