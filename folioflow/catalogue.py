@@ -307,7 +307,7 @@ def text_postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DETECT = r"""case when length(t) < 2 then 'en' when regexp_matches(t, '[\x{0600}-\x{06FF}]') then 'ar'
   when len(regexp_extract_all(t, '\p{Nd}')) / cast(length(t) as double) > 0.7 then 'ara_number'
   when regexp_full_match(t, '[A-Z0-9<]+\n?') and contains(t, '<') then 'mrz' when regexp_matches(t, '[A-Za-z]') then 'en' else 'en' end"""
-_SNIPPETS = """select doc_id * 10 as id, text as t from documents union all select doc_id * 10 + 1, substr(upper(text), 1, 3) || '<' from documents
+_SNIPPETS = """select doc_id * 10 as id, text as t from documents union all select doc_id * 10 + 1, substr(upper(replace(text, 'ß', 's')), 1, 3) || '<' from documents
 union all select page_id * 10 + 2, url from pages union all select doc_id * 10 + 3, cast(doc_id * 7919 as string) || 'ab' from documents
 union all select doc_id * 10 + 4, translate(substr(text, 1, 40), 'aeiou', 'اإيةو') from documents"""
 
