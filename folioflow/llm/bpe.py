@@ -107,16 +107,15 @@ class BpeAutomaton:
 
     def _allowed(self, state: int, token: int) -> bool:
         """Whether the state has a transition for the token: no part of the token's left edge was lost before the next part was born."""
-        lost = {}
-        while state:
-            lost[self.lost[state]] = self.since[state]
-            state = self.parent[state]
-        if token in lost:
-            return False
+        until = {token: len(self.since)}  # the token, and its left edge up to when each part went into the next
         while token in self.left:
             born, token = self.born[token], self.left[token]
-            if lost.get(token, born + 1) <= born:
+            until[token] = born
+        while state:
+            last = until.get(self.lost[state])
+            if last is not None and self.since[state] <= last:
                 return False
+            state = self.parent[state]
         return True
 
     def allowed(self, state: int, token: int) -> bool:
