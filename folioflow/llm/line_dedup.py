@@ -15,7 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, dropped, shuffle_partitions, stored
+from .shared import BLANKS, shuffle_partitions, stored
 
 #: The most frequent keys are joined by broadcast. Every other key then has at most 1/4096 of all rows.
 HOT_KEYS = 4096
@@ -93,6 +93,3 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
         (F.size("__lines") - F.size("__kept")).cast("long").alias("n_dropped"),
         F.array_join("__kept", "\n").alias("kept_text"),
     )
-
-
-__all__ = ["drop_bitmaps", "dropped", "line_dedup", "line_key"]
