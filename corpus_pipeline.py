@@ -34,10 +34,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; a repeated row of it stays once."""
-    components = simhash.simhash_components(docs)
-    first = stored(components.where("doc_id <=> component_id").select(F.col("doc_id").alias("first")).distinct(), "representatives")
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["first"]), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of each group of near copies the document with the smallest id stays (of texts under one id the one with the least
+    hash); a repeated row of it stays once. Rows of one id, or without one, on different texts are documents of their own."""
+    version = F.xxhash64(F.coalesce("text", F.lit("")))
+    keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", version.alias("version")).alias("key"), "text")
+    components = simhash.simhash_components(keyed, id_col="key")  # a component's id is its least key
+    first = components.where("doc_id <=> component_id").select(F.col("doc_id.doc_id").alias("first"), F.col("doc_id.version").alias("first_version"))
+    first = stored(first.distinct(), "representatives")
+    kept = docs.withColumn("version", version)
+    kept = kept.join(first, kept["doc_id"].eqNullSafe(first["first"]) & (kept["version"] == first["first_version"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "version"]).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """The pipeline's stages against their operators' brute force, on a small table folder."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
 from folioflow.llm import queries
 
+from .conftest import prose
 from .test_exact import brute_lines
 from .test_simhash import brute_components, brute_fingerprint
 
@@ -37,6 +40,19 @@ def test_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
 
 
+def test_near_copies_under_one_id(spark):
+    """Only near copies go: rows with a null id, or one id on different texts, are documents of their own."""
+    rng = random.Random(3)
+    a, b, c, d, e, f = (prose(rng, 80) for _ in range(6))
+    rows = [(None, a), (None, b), (None, c), (7, d), (7, e), (7, e), (None, e), (5, a), (None, f), (None, f), (9, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "src", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == list(corpus_pipeline.COLUMNS)
+    want = [(5, a), (None, b), (None, c), (7, d), (7, e), (None, f), (9, None)]
+    assert len({brute_fingerprint(t) for t in (a, b, c, d, e, f)}) == 6
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(repr, want))
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, sf_dir, name):
     out = queries.QUERIES[name](spark, sf_dir)
