@@ -294,6 +294,15 @@ def text_english_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir, "fixed", text.english_fixes, _ASCII_SPARK)
 
 
+_ENGLISH = "select doc_id, replace(replace(text, ' the ', ' 0 l rn '), ' of ', ' a|b vv ') as text from documents where lang = 'en'"
+
+
+@query()
+def text_english_fixes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All English documents. Word boundaries here are Unicode's, DuckDB's are ASCII's, so there is no SQL."""
+    return _texts(spark, sf_dir, "fixed", text.english_fixes, _ENGLISH)
+
+
 @query(
     f"""select conv_id, turn, case when text = '' then '' else trim(case lang when 'ar' then {_NUMERALS.replace("{}", _ARABIC.replace("{}", "c", 1), 1)}
   when 'en' then {_nested("strip_accents(c)", *_ENGLISH_FIXES)} when 'ara_number' then {_ONLY_DIGITS.replace("{}", "c", 1)}

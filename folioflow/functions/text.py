@@ -44,9 +44,14 @@ def arabic_digits(text: Column) -> Column:
 
 
 def english_fixes(text: Column) -> Column:
-    """Common confusions, as whole words only and in this order; a pipe only between two word characters."""
-    fixes = (("0", "O"), ("l", "I"), (r"\|", "I"), ("rn", "m"), ("vv", "w"))
-    return reduce(lambda t, fix: F.regexp_replace(t, rf"\b{fix[0]}\b", fix[1]), fixes, text)
+    """Common confusions, as whole words only and in this order; a pipe only between two word characters.
+
+    Word characters are letters and numbers of any script and the underscore; Java's own \\b takes other ones.
+    """
+    word = r"[\p{L}\p{N}_]"
+    fixes = [(rf"(?<!{word}){x}(?!{word})", y) for x, y in (("0", "O"), ("l", "I"), ("rn", "m"), ("vv", "w"))]
+    fixes.insert(2, (rf"(?<={word})\|(?={word})", "I"))
+    return reduce(lambda t, fix: F.regexp_replace(t, fix[0], fix[1]), fixes, text)
 
 
 def mrz_fixes(text: Column) -> Column:
