@@ -334,6 +334,19 @@ def text_arabic_token_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir, "repaired", text.repair_arabic, "select doc_id, translate(substr(text, 1, 400), 'aeiou', 'اإيةو') as text from documents")
 
 
+@query(
+    rf"""select doc_id, case when regexp_matches(text, '[\x{{0600}}-\x{{06FF}}]') then array_to_string(list_reverse(list_transform(string_split(regexp_replace(text, '[^\x{{0600}}-\x{{06FF}}\p{{Nd}} .,!?\-:;()\[\]{{}}/]', '', 'g'), ' '), lambda p: reverse(p))), ' ') else text end as repaired
+from ({inputs.ARABIC}) a"""
+)
+def text_arabic_token_fix_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir, "repaired", text.repair_arabic, inputs.ARABIC)
+
+
+@query(f"select doc_id, {_DETECT} as language from (select doc_id, text as t from ({inputs.ARABIC}) a) s")
+def text_language_detect_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir, "language", text.detect_language, inputs.ARABIC)
+
+
 # --- boxes and layout -----------------------------------------------------------------------------
 
 

@@ -2,9 +2,10 @@
 
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
-from folioflow.catalogue import QUERIES
+from folioflow.catalogue import ORACLES, QUERIES
 from folioflow.functions import text
 
 FIXES = ((r"\b0\b", "O"), (r"\bl\b", "I"), (r"\b\|\b", "I"), (r"\brn\b", "m"), (r"\bvv\b", "w"))
@@ -31,3 +32,15 @@ def test_english_fixes_take_all_english_documents(spark, sf_dir, tmp_path):
         english = {d: t for d, t, lang in rows if lang == "en"}
         want = {d: t and fixed(t.replace(" the ", " 0 l rn ").replace(" of ", " a|b vv ")) for d, t in english.items()}
         assert {r["doc_id"]: r["fixed"] for r in QUERIES["text_english_fixes_all"](spark, folder).collect()} == want
+
+
+def test_arabic_queries_take_whole_texts(spark, tmp_path):
+    texts = ["bcd " * 150 + "salam 12", "xyz " * 20 + "a", "bcd", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    repaired = {r["doc_id"]: r["repaired"] for r in QUERIES["text_arabic_token_fix_whole"](spark, str(tmp_path)).collect()}
+    assert repaired[0].split() == ["21", "اا"] and repaired[2] == "bcd"
+    language = {r["doc_id"]: r["language"] for r in QUERIES["text_language_detect_whole"](spark, str(tmp_path)).collect()}
+    assert language == {0: "ar", 1: "ar", 2: "en", 3: "en", 4: "en"}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert dict(con.execute(ORACLES["text_arabic_token_fix_whole"]).fetchall()) == repaired
