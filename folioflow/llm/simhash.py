@@ -1,6 +1,6 @@
 """SimHash near-dedup by meet-in-the-middle ball hashing.
 
-Fingerprints at r or fewer differing bits have a common variant within r/2 of both. Every
+Fingerprints at r or fewer differing bits have a common variant within r/2 (rounded up) of both. Every
 distinct fingerprint therefore emits all variants within half the radius (1 + 64 + 2016 for
 r = 4), variants meet in a shuffle, and colliding pairs are verified by their distance.
 
@@ -113,7 +113,7 @@ def _spread(values: np.ndarray) -> np.ndarray:
 
 def _links_in_bucket(fps: np.ndarray, bucket: int, bits: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Verified links among distinct fingerprints that share a variant in this bucket."""
-    half = radius // 2
+    half = (radius + 1) // 2
     total = len(fps) * max(1, len(_flips(half)) >> bits)
     extra = max(0, int(np.ceil(np.log2(max(1, total / PASS_VARIANTS)))))
     masks, begin = _flips_by_syndrome(half, bits + extra)
@@ -194,7 +194,7 @@ def fingerprint_links(fps: DataFrame, n: int, radius: int = 4) -> DataFrame:
     bits = max(int(np.log2(MIN_BUCKETS)), int(np.ceil(np.log2(max(1, n / BUCKET_ROWS)))))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks, begin = _flips_by_syndrome(radius // 2, bits)
+        masks, begin = _flips_by_syndrome((radius + 1) // 2, bits)
         used = np.flatnonzero(begin[1:] > begin[:-1]).astype(np.uint64)
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)

@@ -94,3 +94,17 @@ def test_components_of_chains_stars_and_loops(spark):
 def test_no_rows(empty):
     assert simhash.simhash_components(empty).count() == 0
     assert empty.select(F.lit(1)).count() == 0
+
+
+@pytest.mark.parametrize("radius", [1, 3])
+def test_odd_radius(spark, radius):
+    """Pairs at exactly an odd radius are linked, pairs one bit further apart are not."""
+    rng = random.Random(radius)
+    near, far = [], []
+    for out, bits in ((near, radius), (far, radius + 1)):
+        for _ in range(20):
+            x = rng.getrandbits(63)
+            out.append((x, x ^ sum(1 << b for b in rng.sample(range(63), bits))))
+    fps = spark.createDataFrame([(x,) for pair in near + far for x in pair], "fp long")
+    links = {frozenset((r["a"], r["b"])) for r in simhash.fingerprint_links(fps, 80, radius).collect()}
+    assert links == {frozenset(p) for p in near}
