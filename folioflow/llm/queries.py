@@ -81,7 +81,8 @@ from b"""
 @_query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    runs = F.array_join(F.transform("keep", lambda r: F.concat_ws("-", r["start"].cast("string"), r["stop"].cast("string"))), ",")
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"), runs.alias("keep_bitmap"))
 
 
 ORACLES["op5_line_dedup"] = r"""
@@ -90,10 +91,15 @@ with lines as (
   from documents),
 keyed as (
   select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
-frequent as (select key from keyed where length(key) >= 1 group by key having count(distinct doc_id) >= 10)
-select doc_id, count(*) as n_lines, count(*) filter (where f.key is not null) as n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where f.key is null), '')) as kept_sha256
-from keyed k left join frequent f using (key) group by doc_id"""
+frequent as (select key from keyed where length(key) >= 1 group by key having count(distinct doc_id) >= 10),
+marked as (select k.*, f.key is null as stays from keyed k left join frequent f using (key)),
+runs as (
+  select doc_id, min(pos) - 1 as s, max(pos) as e
+  from (select doc_id, pos, pos - row_number() over (partition by doc_id order by pos) as g from marked where stays) r group by doc_id, g),
+bitmaps as (select doc_id, string_agg(s || '-' || e, ',' order by s) as keep_bitmap from runs group by doc_id)
+select doc_id, count(*) as n_lines, count(*) filter (where not stays) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where stays), '')) as kept_sha256, coalesce(min(keep_bitmap), '') as keep_bitmap
+from marked left join bitmaps using (doc_id) group by doc_id"""
 
 
 @_query

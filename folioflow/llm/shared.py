@@ -19,9 +19,29 @@ BLANK_BYTES[[9, 10, 11, 12, 13, 32]] = True
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A folder of this application in the shared one that the cluster names in spark.checkpoint.dir; deleted when the driver ends.
+
+    Where that is unset, a local master gets a temporary folder; on a cluster every executor would write to a disk of
+    its own, so that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return root.rstrip("/") if root else _own_root(spark.sparkContext.applicationId)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = _own_root(spark.sparkContext.applicationId)
+    return _application_folder(root.rstrip("/"), spark.sparkContext.applicationId)
+
+
+@functools.cache
+def _application_folder(root: str, application: str) -> str:
+    """With its scheme, so that every reader and writer resolves the same place."""
+    spark = SparkSession.active()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/folioflow-{application}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    path = files.makeQualified(path)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return path.toString().replace("file:/", "file:///", 1) if path.toString().startswith("file:/") else path.toString()
 
 
 @functools.cache
