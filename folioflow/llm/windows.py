@@ -108,18 +108,18 @@ def segments(texts: list[bytes], cut: Cut, level: int = 0) -> tuple[np.ndarray,
     sums = np.zeros(len(whole) + 1, np.uint64)
     np.cumsum(byte_values()[np.frombuffer(whole, np.uint8)] * up[: len(whole)], out=sums[1:])
     hashes = mixed((sums[stop[gram - 1 :]] - sums[start[: n - gram + 1]]) * down[start[: n - gram + 1]])
-    mask = np.uint64((1 << n.bit_length()) - 1)
-    least = _least((hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64), limit) & mask  # ties: the leftmost
+    least = _least(hashes, limit)  # of each window the least hash of its grams, all bits of it
     valid = text_of[: n - length + 1] == text_of[length - 1 :]
     if not valid.any():
         return nothing
     begins = valid.copy()
-    begins[1:] &= (least[1:] != least[:-1]) | ~valid[:-1]
+    # the leftmost place of the least hash changes where a window has another least hash, and where the window before began with it
+    begins[1:] &= (least[1:] != least[:-1]) | (hashes[: len(least) - 1] == least[:-1]) | ~valid[:-1]
     at = np.flatnonzero(begins)
     windows = np.bincount((np.cumsum(begins) - 1)[valid], minlength=len(at))
     content = [whole[a:b] for a, b in zip(start[at].tolist(), stop[at + windows + length - 2].tolist(), strict=True)]
     base = np.cumsum(counts) - counts
-    return text_of[at], at - base[text_of[at]], windows, mixed(hashes[least[at]] ^ np.uint64(level)), content
+    return text_of[at], at - base[text_of[at]], windows, mixed(least[at] ^ np.uint64(level)), content
 
 
 def _hashes(contents: list[bytes]) -> np.ndarray:
@@ -144,7 +144,9 @@ def _solved(occurring: DataFrame, cut: Cut, solve: Solver, partitions: int) -> D
         if not contents:
             return
         key, chash, n = np.concatenate(keys), np.concatenate(hashes), np.concatenate(counts)
-        order = np.argsort(key, kind="stable")
+        order = np.lexsort((chash, key))
+        fresh = np.append(True, (key[order][1:] != key[order][:-1]) | (chash[order][1:] != chash[order][:-1]))
+        order = order[fresh]  # what a repeated row sent from another task
         key, chash, n = key[order], chash[order], n[order]
         contents = [contents[i] for i in order.tolist()]
         heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist()
@@ -257,7 +259,13 @@ def repeated_windows(docs: DataFrame, cut: Cut, solve: Solver) -> DataFrame:
     by_doc = wanted.groupBy("doc", "version").agg(F.collect_list(F.struct("key", "chash", "n", "k", "first", "windows")).alias("asked"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
+            # a repeated row asks for the same segments again: the join has put its copies next to each other, and one is enough
+            named = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+            fresh = [x != before for x, before in zip(named, [last, *named[:-1]], strict=True)]
+            last = named[-1] if named else last
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
             texts = text_bytes(batch.column(0))
             asked = batch.column(1)
             for a, b in groups_by_size([len(t) for t in texts], CHUNK_BYTES):
@@ -273,8 +281,7 @@ def repeated_windows(docs: DataFrame, cut: Cut, solve: Solver) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([field("key"), field("chash"), field("n"), field("k"), pa.array(content, pa.binary())], names=["key", "chash", "n", "k", "content"])
 
     same = named["doc"].eqNullSafe(by_doc["doc"]) & (named["version"] == by_doc["version"])
-    # a repeated row sends its segments again, which changes nothing: they are found twice as it is
-    asked = named.join(by_doc, same).select(named["text"], "asked")
+    asked = named.join(by_doc, same).select(named["text"], "asked", named["doc"], named["version"])
     fetched = asked.mapInArrow(fetch, "key long, chash long, n long, k long, content binary")
     index = stored(fetched, "index-contents")
     found = _resolve(index, cut, solve, 0)

@@ -51,6 +51,15 @@ def test_bytes(docs, corpus, monkeypatch, hot):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+def test_rows_that_repeat_often(spark):
+    """Many copies of a row send their segments to the index once; another text with a part of it is still found."""
+    rng = np.random.default_rng(8)
+    words = [f"w{x}" for x in rng.integers(0, 500, 300)]
+    rows = [(7, " ".join(words))] * 40 + [(8, " ".join(words[100:160])), (None, " ".join(words[:40])), (None, " ".join(words[:40]))]
+    got = rows_of(fm_index.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)), "doc_id", "n_words", "n_removed")
+    assert got == sorted(map(repr, [(7, 300, 300)] * 40 + [(8, 60, 60), (None, 40, 40), (None, 40, 40)]))
+
+
 def test_no_rows(empty):
     assert fm_index.substring_dedup(empty).count() == suffix_array.suffix_array_dedup(empty).count() == line_dedup.line_dedup(empty).count() == 0
 
@@ -89,6 +98,27 @@ def test_suffix_order_and_ranks(symbols):
         assert ranks.tolist() == [int((text[:i] == c).sum()) for i in ends]
 
 
+@pytest.mark.parametrize("bits", [2, 10, 64])
+def test_keys_do_not_depend_on_the_batch(monkeypatch, bits):
+    """Whatever texts share a batch, and however often hashes are equal, a text is cut into the same segments with the same keys."""
+    exact = windows.mixed
+    monkeypatch.setattr(windows, "mixed", lambda x: exact(x) >> np.uint64(64 - bits))
+    rng = np.random.default_rng(4)
+    texts = [rng.choice(list(b"abcd"), n).astype(np.uint8).tobytes() for n in (400, 90, 20_000, 49, 50, 3000)] + [b"ab" * 200]
+    cut = windows.Cut(50, (8, 50), False)
+
+    def pieces(own):
+        row, first, n, key, content = windows.segments(own, cut)
+        return sorted((own[r], int(f), int(k), int(h), c) for r, f, k, h, c in zip(row.tolist(), first, n, key, content, strict=True))
+
+    assert pieces(texts) == sorted(x for t in texts for x in pieces([t]))
+    for t in texts:  # equal windows have equal keys, in whatever text they stand
+        for _, first, n, key, content in pieces([t]):
+            for i in range(n):
+                ((_, _, _, alone, _),) = pieces([content[i : i + 50]])
+                assert alone == key
+
+
 def test_segments_deal_out_every_window_once():
     texts = [b"abracadabra" * 30, b"", b"x" * 300, b"abracadabra" * 25]
     cut = windows.Cut(50, (8, 50), False)
@@ -142,3 +172,23 @@ def test_line_plan_has_no_python(docs):
 
 def test_digest_of_nothing(docs):
     assert hashlib.sha256(b"").hexdigest() in {hashlib.sha256(r["kept_text"].encode()).hexdigest() for r in line_dedup.line_dedup(docs).collect()}
+
+
+def test_lines_of_columns_that_clash(spark):
+    """Extra columns keep their names and values, whatever the operator calls its own; clashing results are replaced in any case."""
+    names = ["doc_id", "text", "row", "doc", "version", "hash", "lines", "gaps", "n", "__row", "pos", "h1", "source", "id", "N_Lines", "KEEP", "with space", "a.b"]
+    rows = [tuple([i, f"same\nown {i}"] + [f"{c}{i}" for c in names[2:]]) for i in range(12)]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, names))
+    assert out.columns == [c for c in names if c not in ("text", "N_Lines", "KEEP")] + ["n_lines", "n_dropped", "kept_text", "keep"]
+    for r in out.collect():
+        i = r["doc_id"]
+        assert r["kept_text"] == f"own {i}" and r["__row"] == f"__row{i}" and r["a.b"] == f"a.b{i}" and r["version"] == f"version{i}"
+        assert (r["n_lines"], r["n_dropped"], [tuple(x) for x in r["keep"]]) == (2, 1, [(1, 2)])
+
+
+def test_keep_bitmaps(spark):
+    """Runs of ones: none where all lines go, all of them where none does; a repeated row changes nothing."""
+    rows = [(i, "a\nb\nx%d\na\ny%d" % (i, i)) for i in range(10)] + [(3, "a\nb\nx3\na\ny3")] * 3 + [(20, "A \n\tb"), (21, None), (22, "own"), (None, "a\n\nz")]
+    got = sorted((repr((r["doc_id"], r["n_dropped"], [tuple(x) for x in r["keep"]]))) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [(i, 3, [(2, 3), (4, 5)]) for i in [*range(10), 3, 3, 3]] + [(20, 2, []), (21, 0, [(0, 1)]), (22, 0, [(0, 1)]), (None, 1, [(1, 3)])]
+    assert got == sorted(map(repr, want))
