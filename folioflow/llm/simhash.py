@@ -28,8 +28,8 @@ from .graph import connected_components
 from .shared import dropped, id_and_text, stored, text_bytes
 
 SEED = 42
-#: Fingerprints per bucket before the number of buckets grows, and the least number of buckets.
-BUCKET_ROWS, MIN_BUCKETS = 1 << 16, 64
+#: Fingerprints that a bucket's task may get before the number of buckets grows, and the least number of buckets.
+BUCKET_ROWS, MIN_BUCKETS = 1 << 22, 64
 #: Variants that one pass of a bucket's task holds.
 PASS_VARIANTS = 1 << 22
 
@@ -111,8 +111,25 @@ def _spread(values: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _bucket_bits(n: int, radius: int) -> int:
+    """Bits of a bucket's number, so that no bucket gets more than BUCKET_ROWS of n fingerprints, whatever their ball reaches.
+
+    With few buckets every one gets every fingerprint; the share falls to the ball's size over the number of buckets.
+    """
+    bits = int(np.log2(MIN_BUCKETS))
+    while n * _reached(radius, bits) > BUCKET_ROWS << bits:
+        bits += 1
+    return bits
+
+
+@functools.cache
+def _reached(radius: int, bits: int) -> int:
+    """How many buckets get a fingerprint: the different syndromes of the flips."""
+    return len(np.unique(_syndromes(_flips((radius + 1) // 2), bits)))
+
+
 def _links_in_bucket(fps: np.ndarray, bucket: int, bits: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Verified links among distinct fingerprints that share a variant in this bucket."""
+    """Verified links among distinct fingerprints that share a variant in this bucket; they connect all that do."""
     half = (radius + 1) // 2
     total = len(fps) * max(1, len(_flips(half)) >> bits)
     extra = max(0, int(np.ceil(np.log2(max(1, total / PASS_VARIANTS)))))
@@ -144,26 +161,31 @@ def _links_in_bucket(fps: np.ndarray, bucket: int, bits: int, radius: int) -> It
         left, right = fps[who[:-1][same]], fps[who[1:][same]]
         near = np.bitwise_count(left ^ right) <= radius
         yield left[near], right[near]
-        if not near.all():  # a truncated variant met another one: link those groups one by one
+        if not near.all():  # a truncated variant met another one, or the radius is odd: such groups are taken apart by the full variant
             starts = np.flatnonzero(np.append(True, ~same))
             stops = np.append(starts[1:], len(keys))
-            odd = np.unique(np.searchsorted(starts, np.flatnonzero(same)[~near], side="right") - 1)
-            for g in odd:
-                yield _links_in_group(fps[who[starts[g] : stops[g]]], radius)
+            for g in np.unique(np.searchsorted(starts, np.flatnonzero(same)[~near], side="right") - 1):
+                at = who[starts[g] : stops[g]]
+                need = (own[at] ^ target).astype(np.int64)
+                ball = [fps[i] ^ masks[begin[k] : begin[k + 1]] for i, k in zip(at.tolist(), need.tolist(), strict=True)]
+                members, full = np.repeat(fps[at], [len(x) for x in ball]), np.concatenate(ball)
+                met = (_spread(full) & ~index_mask) == variant[starts[g]]
+                yield _links_by_variant(members[met], full[met], radius)
 
 
-def _links_in_group(members: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect whatever shares a variant in a mixed group: greedy representatives, then every member to each near one."""
-    chosen: list[np.uint64] = []
-    for x in members:
-        if not any(int(np.bitwise_count(x ^ y)) <= radius for y in chosen):
-            chosen.append(x)
-    left, right = [], []
-    for y in chosen:
-        near = members[np.bitwise_count(members ^ y) <= radius]
-        left.append(np.full(len(near), y, np.uint64))
-        right.append(near)
-    return np.concatenate(left), np.concatenate(right)
+def _links_by_variant(members: np.ndarray, variants: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among members by the variants that they have in common.
+
+    A member within half the radius, rounded down, of a variant is within the radius of every other that has it. Two members
+    that are both further from it are linked by another variant, between them, if they are near.
+    """
+    distance = np.bitwise_count(members ^ variants)
+    order = np.lexsort((members, distance, variants))
+    members, variants, distance = members[order], variants[order], distance[order]
+    head = np.flatnonzero(np.append(True, variants[1:] != variants[:-1]))
+    nearest = np.repeat(head, np.diff(np.append(head, len(members))))
+    good = (distance[nearest] <= radius // 2) & (nearest != np.arange(len(members)))
+    return members[nearest[good]], members[good]
 
 
 def _forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +213,7 @@ def fingerprint_links(fps: DataFrame, n: int, radius: int = 4) -> DataFrame:
 
     fps: distinct values in column fp; n: how many there are, which sets the number of buckets only.
     """
-    bits = max(int(np.log2(MIN_BUCKETS)), int(np.ceil(np.log2(max(1, n / BUCKET_ROWS)))))
+    bits = _bucket_bits(n, radius)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks, begin = _flips_by_syndrome((radius + 1) // 2, bits)
@@ -229,8 +251,8 @@ def fingerprint_links(fps: DataFrame, n: int, radius: int = 4) -> DataFrame:
                 a, b = _forest(np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links]))
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    sent = fps.mapInArrow(send, "bucket long, blob binary")
-    return sent.repartition(1 << bits, "bucket").mapInArrow(meet, "a long, b long").distinct()
+    sent = fps.mapInArrow(send, "bucket long, blob binary").withColumn("partition", F.col("bucket").cast("int"))
+    return sent.repartitionById(1 << bits, "partition").mapInArrow(meet, "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, radius: int = 4, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

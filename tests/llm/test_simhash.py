@@ -48,9 +48,9 @@ def test_rows(docs, corpus):
     assert len({w[2] for w in want}) < len({w[1] for w in want})
 
 
-@pytest.mark.parametrize(("rows", "passes"), [(1 << 16, 1 << 22), (1, 64)])
+@pytest.mark.parametrize(("rows", "passes"), [(1 << 22, 1 << 22), (176, 64)])
 def test_links_connect_what_all_pairs_connect(spark, monkeypatch, rows, passes):
-    """Planted chains at 1 to 5 bits; with one row a bucket there are thousands of buckets, with 64 variants a pass many passes."""
+    """Planted chains at 1 to 5 bits; with 176 rows a bucket there are hundreds of buckets, with 64 variants a pass many passes."""
     monkeypatch.setattr(simhash, "BUCKET_ROWS", rows)
     monkeypatch.setattr(simhash, "PASS_VARIANTS", passes)
     rng = random.Random(9)
@@ -77,12 +77,53 @@ def test_links_connect_what_all_pairs_connect(spark, monkeypatch, rows, passes):
     assert all((find(a) == find(b)) == (groups[a] == groups[b]) for a in values[:60] for b in values)
 
 
-def test_truncated_variants_that_meet_lose_no_link():
-    members = np.array([0, 1, 3, 0xFF00, 0xFF01, 0xFF0F, 7], dtype=np.uint64)
-    left, right = simhash._links_in_group(members, 2)
-    linked = {frozenset((int(a), int(b))) for a, b in zip(left, right, strict=True)}
-    assert all((a ^ b).bit_count() <= 2 for a, b in map(lambda s: (min(s), max(s)), linked))
-    assert {1, 3} <= {x for s in linked if 0 in s for x in s} | {x for s in linked if 1 in s for x in s}
+@pytest.mark.parametrize("radius", [3, 4])
+def test_truncated_variants_that_meet_lose_no_link(monkeypatch, radius):
+    """Variants cut to a few bits meet others all the time; the links still connect what all pairs connect."""
+    monkeypatch.setattr(simhash, "_spread", lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64((1 << 60) - 1))
+    rng = random.Random(radius)
+    values = [0, 0xFFF, 0xF, 0xFF] + [rng.getrandbits(64) for _ in range(8)]
+    for _ in range(30):
+        x = rng.choice(values)
+        for b in rng.sample(range(64), rng.randint(1, 5)):
+            x ^= 1 << b
+        values.append(x)
+    values = np.unique(np.array(values, dtype=np.uint64))
+    links = [x for bucket in range(64) for x in simhash._links_in_bucket(values, bucket, 6, radius)]
+    own = {int(v): int(v) for v in values}
+
+    def find(x):
+        while own[x] != x:
+            x = own[x]
+        return x
+
+    for left, right in links:
+        assert (np.bitwise_count(left ^ right) <= radius).all()
+        for a, b in zip(left.tolist(), right.tolist(), strict=True):
+            own[find(a)] = find(b)
+    groups = brute_components(own, radius)
+    assert all((find(a) == find(b)) == (groups[a] == groups[b]) for a in own for b in own)
+
+
+def test_members_near_each_other_but_not_the_first():
+    """0 - 0xF - 0xFF - 0xFFF at radius 4: every neighbour is linked."""
+    values = np.array([0, 0xF, 0xFF, 0xFFF], dtype=np.uint64)
+    found = {frozenset((int(a), int(b))) for bucket in range(64) for x, y in simhash._links_in_bucket(values, bucket, 6, 4) for a, b in zip(x, y, strict=True)}
+    assert found == {frozenset(p) for p in ((0, 0xF), (0xF, 0xFF), (0xFF, 0xFFF))}
+
+
+@pytest.mark.parametrize("n", [10**5, 10**7, 10**8, 10**9])
+def test_buckets_are_bounded(n):
+    """What a bucket gets is counted on random fingerprints sent to it, and scaled to n."""
+    bits = simhash._bucket_bits(n, 4)
+    assert n * simhash._reached(4, bits) / 2**bits <= simhash.BUCKET_ROWS
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    used = np.unique(simhash._syndromes(simhash._flips(2), bits))
+    buckets = (simhash._syndromes(values, bits)[:, None] ^ used[None, :]).ravel()
+    assert len(buckets) == 200 * simhash._reached(4, bits)
+    if bits > 12:  # sparse: a bucket gets a fingerprint or two of the 200, not a third of them
+        assert np.bincount(buckets.astype(np.int64)).max() < 200 * 0.6
 
 
 def test_components_of_chains_stars_and_loops(spark):
