@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
 Every rule says whether a text fails it. A text is rejected by the first rule that it fails, so
-the verdict does not depend on the order; the cost does. The cost (seconds a text) and the
-rejection rate of each rule are estimated on a sample, and rules run by falling rejection per cost.
+the verdict does not depend on the order; the cost does. The cost that each rule adds to the base
+measures (seconds a text) and its rejection rate are estimated on a sample, where its rows are, and
+rules run by falling rejection per cost.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .shared import id_and_text
 
 SYMBOLS = "#*$%&|<>"
-#: Rows of the sample on which costs and rejection rates are estimated.
+#: Rows that the sample has on average, on which costs and rejection rates are estimated.
 SAMPLE_ROWS = 400
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 
@@ -39,6 +40,10 @@ class Measures:
             self._seen[name] = make()
         return self._seen[name]
 
+    def base(self) -> tuple[int, ...]:
+        """What every row returns, known before any rule is asked."""
+        return (self.n_words, self.word_chars, self.n_symbols, self.n_dup_lines, self.n_repeat_words)
+
     @property
     def word_chars(self) -> int:
         return self._once("word_chars", lambda: len(self.text) - sum(map(self.text.count, " \t\n\x0b\x0c\r")))
@@ -124,16 +129,39 @@ def base_failed(m: Measures) -> bool:
     return m.n_words < MIN_WORDS or 100 * m.n_repeat_words > MAX_REPEAT_PERCENT * m.n_words
 
 
-def ordered_rules(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[Rule]:
-    """Rules by falling rejection per cost, as measured on the texts; each rule pays for the measures that it asks for first."""
-    spent, rejected = dict.fromkeys(rules, 0.0), dict.fromkeys(rules, 0)
+def trials(texts: Iterator[str], rules: tuple[Rule, ...] = RULES) -> dict[str, list[float]]:
+    """Of each rule: texts that it saw, texts that it rejects, seconds that it took once the base measures were known."""
+    out = {r.name: [0.0, 0.0, 0.0] for r in rules}
     for text in texts:
+        m = Measures(text)
+        m.base()
+        if base_failed(m):
+            continue  # no rule is ever shown such a text
         for rule in rules:
-            fresh = Measures(text)
             began = time.perf_counter()
-            rejected[rule] += rule.fails(fresh)
-            spent[rule] += time.perf_counter() - began
-    return sorted(rules, key=lambda r: (-(rejected[r] + 0.5) / (spent[r] + 1e-9), r.name))
+            rejected = rule.fails(m)
+            spent = time.perf_counter() - began
+            out[rule.name] = [x + y for x, y in zip(out[rule.name], (1, rejected, spent), strict=True)]
+    return out
+
+
+def ordered_rules(measured: dict[str, list[float]]) -> list[str]:
+    """Names of rules by falling rejection per cost."""
+    return sorted(measured, key=lambda name: (-(measured[name][1] + 0.5) / (measured[name][2] + 1e-9), name))
+
+
+def _tried(base: DataFrame, rules: tuple[Rule, ...], sample_rows: int) -> dict[str, list[float]]:
+    """Trials on a sample; only its sums reach the driver."""
+    share = min(1.0, sample_rows / max(1, base.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = trials((t for batch in batches for t in batch.column(0).to_pylist()), rules)
+        columns = zip(*((name, *x) for name, x in found.items()), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["name", "seen", "rejected", "seconds"])
+
+    sample = base.where(F.rand(7) < share).select("text")
+    rows = sample.mapInArrow(run, "name string, seen double, rejected double, seconds double").groupBy("name").agg(F.sum("seen"), F.sum("rejected"), F.sum("seconds")).collect()
+    return {r.name: [0.0, 0.0, 0.0] for r in rules} | {r[0]: list(r[1:]) for r in rows}
 
 
 def passes(m: Measures, rules: list[Rule]) -> bool:
@@ -149,8 +177,7 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_row
     orders the rules: every row gets the verdict of all of them.
     """
     base = id_and_text(docs, id_col, text_col)
-    sample = [r[0] for r in base.orderBy(F.xxhash64("text", "doc_id")).limit(sample_rows).select(F.substring("text", 1, 20000)).collect()]
-    names = [r.name for r in ordered_rules(sample, rules)]
+    names = ordered_rules(_tried(base, rules, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_name = {r.name: r for r in rules}
@@ -159,8 +186,8 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_row
             rows = []
             for text in batch.column(1).to_pylist():
                 m = Measures(text)
-                bad = base_failed(m)
-                rows.append((m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, bad, not bad and passes(m, order)))
+                base, bad = m.base(), base_failed(m)
+                rows.append((*base, bad, not bad and passes(m, order)))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
             arrays = [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(c, pa.bool_()) for c in columns[5:]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
