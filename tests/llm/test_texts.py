@@ -84,7 +84,8 @@ def test_quality_measures(docs, corpus, empty):
 def test_the_order_of_rules_changes_no_verdict():
     rng = random.Random(1)
     texts = [prose(rng, 60), "#$ " * 60, "LOUD " * 60, "no! " * 60, prose(rng, 30) + " a" * 30, ""]
-    orders = [list(quality.RULES), list(reversed(quality.RULES)), quality.ordered_rules(texts)]
+    by = {r.name: r for r in quality.RULES}
+    orders = [list(quality.RULES), list(reversed(quality.RULES)), [by[n] for n in quality.ordered_rules(quality.trials(texts))]]
     verdicts = [[quality.passes(quality.Measures(t), order) for t in texts] for order in orders]
     assert verdicts[0] == verdicts[1] == verdicts[2] == [True, False, False, False, False, True]
 
@@ -94,7 +95,7 @@ def test_costly_rules_that_reject_little_come_last():
         return sum(i for i in range(20000)) < 0
 
     rules = (quality.Rule("slow", slow), quality.Rule("quick", lambda m: True))
-    assert [r.name for r in quality.ordered_rules(["a b", "c"] * 20, rules)] == ["quick", "slow"]
+    assert quality.ordered_rules(quality.trials([" ".join(f"w{i}" for i in range(30)), "too short"] * 20, rules)) == ["quick", "slow"]
 
 
 def test_licences(spark, docs, empty):
@@ -147,7 +148,11 @@ def test_held_out_toxicity(graded):
 def test_labels_of_held_out_rows_change_nothing(spark, graded):
     docs, labels = graded
     flipped = labels.withColumn("toxic", toxicity.F.when(toxicity.held_out(labels["doc_id"]), 1 - labels["toxic"]).otherwise(labels["toxic"]))
-    assert toxicity.fit(docs, labels).terms == toxicity.fit(docs, flipped).terms
+    one, other = toxicity.fit(docs, labels), toxicity.fit(docs, flipped)
+    assert one.terms == other.terms
+    assert (one.weights == other.weights).all() and one.bias == other.bias
+    scores = [{r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, x).collect()} for x in (labels, flipped)]
+    assert scores[0] == scores[1]
 
 
 def test_toxicity_of_odd_rows(docs, corpus, empty, graded):
@@ -222,3 +227,20 @@ def test_archive_with_and_without_dictionary():
 def test_damaged_archives_are_refused(bad):
     with pytest.raises(ValueError, match="."):
         list(warc.read_archive(bad))
+
+
+def test_rules_are_timed_where_the_rows_are(spark):
+    """The sample has the rows that pass the base, in sums; a row that repeats a hundred times is sampled like any other."""
+    rows = [(1, " ".join(f"w{i}" for i in range(30)))] * 100 + [(i, "short") for i in range(50)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = quality._tried(quality.id_and_text(docs), quality.RULES, 10_000)
+    assert {n: x[:2] for n, x in found.items()} == {r.name: [100, 0] for r in quality.RULES}
+    some = quality._tried(quality.id_and_text(docs), quality.RULES, 15)
+    assert all(x[0] < 40 for x in some.values())
+    assert set(quality._tried(quality.id_and_text(docs.limit(0)), quality.RULES, 15)) == {r.name for r in quality.RULES}
+
+
+def test_few_labelled_rows_are_a_bound(graded):
+    """With more labels than the bound, the fit stays under it and still learns."""
+    docs, labels = graded
+    assert toxicity.fit(docs, labels, 150).terms
