@@ -25,6 +25,7 @@ NUMBER_REGIONS = ("nid", "dob", "nid_back", "expiry", "id_number")
 ARABIC_REGIONS = ("name_arabic", "address_arabic")
 
 
+# Log levels and response headers.
 LOG_LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
 RESPONSE_HEADERS = {
     "X-Content-Type-Options": "nosniff",
@@ -99,19 +100,48 @@ def recommended_engine(language: Column, region: Column) -> Column:
     return F.coalesce(lookup(REGION_ENGINES, region), lookup(LANGUAGE_ENGINES, language), F.lit("paddle"))
 
 
-def engine_options(engine: Column, language: Column, given: Column) -> Column:
-    """Options as a map: common ones, then the engine's, then those given; later ones win (needs LAST_WIN keys)."""
-    whitelist = F.when(language == "mrz", "--psm 6 --oem 3 -c tessedit_char_whitelist=ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789<").when(language == "ara_number", "--psm 7 --oem 3 -c tessedit_char_whitelist=0123456789").otherwise("--psm 6 --oem 3")
-    entry = lambda **kw: F.create_map(*[x for k, v in kw.items() for x in (F.lit(k), v if isinstance(v, Column) else F.lit(v))])
-    own = (
-        F.when(engine == "paddle", entry(use_angle_cls="true", show_log="false", lang=paddle_language(language), det_limit_side_len="2560", det_limit_type="max", det_db_thresh="0.3", det_db_box_thresh="0.5"))
-        .when(engine == "tesseract", entry(config=whitelist, timeout="30", lang="ara+eng"))
-        .when(engine == "easy_ocr", entry(detector="true", recognizer="true"))
-        .when(engine == "surya", entry(batch_size="4"))
-        .when(engine == "yolo_ar_num", entry(confidence_threshold="0.4"))
-        .otherwise(F.create_map().cast("map<string,string>"))
+# Options of each engine, as text; the primary language may replace one of them.
+COMMON_OPTIONS = {"confidence_threshold": "0.5"}
+ENGINE_OPTIONS = {
+    "paddle": {
+        "use_angle_cls": "true", "use_gpu": "false", "show_log": "false", "lang": "ar", "det_limit_side_len": "2560", "det_limit_type": "max",
+        "det_db_thresh": "0.3", "det_db_box_thresh": "0.5",
+    },
+    "tesseract": {"config": "--psm 6 --oem 3", "timeout": "30", "lang": "ara+eng"},
+    "easy_ocr": {"gpu": "false", "model_storage_directory": "models/easyocr", "detector": "true", "recognizer": "true"},
+    "surya": {"batch_size": "4", "cache_dir": "models/surya"},
+    "yolo_ar_num": {"confidence_threshold": "0.4", "model_path": "models/yolo_ar_num"},
+}
+TESSERACT_CONFIGS = {
+    "mrz": "--psm 6 --oem 3 -c tessedit_char_whitelist=ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789<",
+    "ara_number": "--psm 7 --oem 3 -c tessedit_char_whitelist=0123456789",
+}
+PADDLE_OPTION_LANGUAGES = {"ar": "ar", "en": "en", "zh": "ch", "ja": "japan", "ko": "korean", "mrz": "en", "ara_number": "ar"}
+
+
+def engine_options(engine: Column, language: Column, given: Column, use_gpu: bool = False, models: str = "models") -> Column:
+    """Options as a map: common ones, then the engine's, then those given; later ones win.
+
+    language is the primary one, null if none is asked for. models is the folder that holds the engines' own folders.
+    A key that a later map has is taken out of the earlier one, so the map needs no setting of the session.
+    """
+    text = lambda options: F.create_map(*[F.lit(x) for kv in options.items() for x in kv])
+    nothing = F.create_map().cast("map<string,string>")
+
+    def merged(first: Column, later: Column) -> Column:
+        return F.map_concat(F.map_filter(first, lambda k, _: ~F.array_contains(F.map_keys(later), k)), later)
+
+    own = nothing
+    for name, options in ENGINE_OPTIONS.items():
+        options = {k: v.replace("models", models, 1) if v.startswith("models/") else v for k, v in options.items()}
+        options |= {k: str(use_gpu).lower() for k in ("gpu", "use_gpu") if k in options}
+        own = F.when(engine == name, text(options)).otherwise(own)
+    adjusted = (
+        F.when((engine == "tesseract") & language.isin(*TESSERACT_CONFIGS), F.create_map(F.lit("config"), lookup(TESSERACT_CONFIGS, language)))
+        .when((engine == "paddle") & language.isNotNull(), F.create_map(F.lit("lang"), F.coalesce(lookup(PADDLE_OPTION_LANGUAGES, language), F.lit("en"))))
+        .otherwise(nothing)
     )
-    return F.map_concat(entry(confidence_threshold="0.5"), own, given)
+    return merged(merged(merged(text(COMMON_OPTIONS), own), adjusted), F.coalesce(given, nothing))
 
 
 def status_code(error: Column) -> Column:

@@ -165,3 +165,27 @@ def test_cache_default_ttl(spark):
 def test_sources(spark):
     df = spark.createDataFrame([("http://a", True), ("/x", True), ("scanner", False), ("?", False)], "s string, e boolean")
     assert [r[0] for r in df.select(routing.source_kind(F.col("s"), F.col("e"))).collect()] == ["url", "file", "scanner", None]
+
+
+def test_engine_options_by_engine_and_language(spark):
+    """Options as the engines' tables give them; no setting of the session is needed."""
+    from folioflow.plans import routing
+
+    assert spark.conf.get("spark.sql.mapKeyDedupPolicy") == "EXCEPTION"
+    cases = [("paddle", "zh", None), ("paddle", "german", None), ("paddle", None, None), ("paddle", "ara_number", {"lang": "x", "extra": "1"}), ("tesseract", "mrz", None), ("tesseract", "en", {"timeout": "5"}), ("yolo_ar_num", "ar", None), ("easy_ocr", "en", {}), ("surya", "en", None), ("other", "en", None)]
+    rows = spark.createDataFrame(cases, "engine string, language string, given map<string,string>")
+    got = [r[0] for r in rows.select(routing.engine_options(F.col("engine"), F.col("language"), F.col("given"), use_gpu=True, models="/m")).collect()]
+    paddle = {"confidence_threshold": "0.5", "use_angle_cls": "true", "use_gpu": "true", "show_log": "false", "lang": "ch", "det_limit_side_len": "2560", "det_limit_type": "max", "det_db_thresh": "0.3", "det_db_box_thresh": "0.5"}
+    tesseract = {"confidence_threshold": "0.5", "config": "--psm 6 --oem 3", "timeout": "30", "lang": "ara+eng"}
+    assert got == [
+        paddle,
+        paddle | {"lang": "en"},
+        paddle | {"lang": "ar"},
+        paddle | {"lang": "x", "extra": "1"},
+        tesseract | {"config": "--psm 6 --oem 3 -c tessedit_char_whitelist=ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789<"},
+        tesseract | {"timeout": "5"},
+        {"confidence_threshold": "0.4", "model_path": "/m/yolo_ar_num"},
+        {"confidence_threshold": "0.5", "gpu": "true", "model_storage_directory": "/m/easyocr", "detector": "true", "recognizer": "true"},
+        {"confidence_threshold": "0.5", "batch_size": "4", "cache_dir": "/m/surya"},
+        {"confidence_threshold": "0.5"},
+    ]
