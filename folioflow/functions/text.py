@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 ARABIC, ENGLISH, ARABIC_NUMBER, MRZ = "ar", "en", "ara_number", "mrz"
+# Fixed value: letters, and what stands for them; the last one goes.
+ARABIC_FORMS = ("أإآةىـ", "اااهي")
 ARABIC_RANGE = r"[؀-ۿ]"
 BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
 
@@ -22,7 +24,7 @@ def clean_common(text: Column) -> Column:
 
 def normalize_arabic(text: Column) -> Column:
     """One form of alef, teh marbuta as heh, one yeh; no tatweel, no diacritics."""
-    return F.regexp_replace(F.translate(text, "أإآةىـ", "ااا" + "هي"), r"[ً-ٟ]", "")
+    return F.regexp_replace(F.translate(text, *ARABIC_FORMS), r"[ً-ٟ]", "")
 
 
 @F.pandas_udf(StringType())
@@ -64,7 +66,7 @@ def postprocess(text: Column, language: Column) -> Column:
     base = clean_common(text)
     chained = (
         F.when(language == ARABIC, arabic_digits(normalize_arabic(base)))
-        .when(language == ENGLISH, english_fixes(strip_accents(base)))
+        .when(language == ENGLISH, english_fixes(strip_accents(F.when(language == ENGLISH, base))))  # other languages' texts are not sent to Python
         .when(language == ARABIC_NUMBER, digits_only(base))
         .when(language == MRZ, mrz_fixes(normalize_mrz(base)))
         .otherwise(base)

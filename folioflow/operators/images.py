@@ -78,13 +78,23 @@ def to_rgb(image: np.ndarray) -> np.ndarray:
 
 def _padded(image: np.ndarray, r: int, mode: str = "reflect") -> np.ndarray:
     mode = mode if min(image.shape[:2]) > r else "edge"
-    return np.pad(image.astype(float), [(r, r), (r, r)] + [(0, 0)] * (image.ndim - 2), mode=mode)
+    return np.pad(image.astype(np.float32), [(r, r), (r, r)] + [(0, 0)] * (image.ndim - 2), mode=mode)
 
 
-def _neighbours(image: np.ndarray, size: int, mode: str = "reflect") -> np.ndarray:
-    """size x size copies of the image, shifted, in front."""
+def _shifts(image: np.ndarray, size: int, mode: str = "reflect") -> Iterator[np.ndarray]:
+    """size x size views of one padded copy, shifted, row by row: whatever sums over them holds one image at a time."""
     wide, (h, w) = _padded(image, size // 2, mode), image.shape[:2]
-    return np.stack([wide[i : i + h, j : j + w] for i in range(size) for j in range(size)])
+    for i in range(size):
+        for j in range(size):
+            yield wide[i : i + h, j : j + w]
+
+
+def _weighted(image: np.ndarray, weights: np.ndarray, size: int, mode: str = "reflect") -> np.ndarray:
+    total = np.zeros(image.shape)
+    for weight, near in zip(weights, _shifts(image, size, mode), strict=True):
+        if weight:
+            total += weight * near
+    return total
 
 
 def gaussian_weights(size: int, sigma: float = 0.0) -> np.ndarray:
@@ -94,28 +104,85 @@ def gaussian_weights(size: int, sigma: float = 0.0) -> np.ndarray:
 
 
 def _blurred(image: np.ndarray, size: int, sigma: float = 0.0) -> np.ndarray:
-    return np.tensordot(gaussian_weights(size, sigma), _neighbours(image, size), 1)
+    return _weighted(image, gaussian_weights(size, sigma), size)
 
 
 def denoise(image: np.ndarray, method: str = "gaussian") -> np.ndarray:
     """gaussian 5x5, median 5 or bilateral (9, 75, 75); an unknown method is gaussian."""
     if method == "median":
-        return np.median(_neighbours(image, 5, "edge"), axis=0).astype(np.uint8)
+        h = max(1, (1 << 20) // max(1, image[0].size))  # in strips, so that the 25 copies stay small
+        wide = np.pad(image, [(2, 2), (2, 2)] + [(0, 0)] * (image.ndim - 2), mode="edge")
+        strips = [wide[y : min(y + h, image.shape[0]) + 4] for y in range(0, image.shape[0], h)]
+        middle = lambda x: np.partition(np.stack([x[i : len(x) - 4 + i, j : j + image.shape[1]] for i in range(5) for j in range(5)]), 12, axis=0)[12]
+        return np.concatenate([middle(x) for x in strips])
     if method == "bilateral":
         return bilateral(image, 9, 75, 75)
     return _bytes(_blurred(image, 5))
 
 
 def bilateral(image: np.ndarray, size: int, sigma_color: float, sigma_space: float) -> np.ndarray:
-    near = _neighbours(image, size)
-    i, j = np.divmod(np.arange(size * size), size)
-    distance = (i - size // 2) ** 2 + (j - size // 2) ** 2
-    inside = (distance <= (size // 2) ** 2).astype(float)
-    far = np.abs(near - image.astype(float))
-    far = far.sum(axis=-1, keepdims=True) if image.ndim == 3 else far
-    shape = (-1,) + (1,) * image.ndim
-    weight = (inside * np.exp(-distance / (2 * sigma_space**2))).reshape(shape) * np.exp(-(far**2) / (2 * sigma_color**2))
-    return _bytes((weight * near).sum(axis=0) / weight.sum(axis=0))
+    own = image.astype(np.float32)
+    total, weights = np.zeros_like(own), np.zeros(own.shape[:2] + (1,) * (own.ndim - 2), np.float32)
+    for at, near in enumerate(_shifts(image, size)):
+        distance = (at // size - size // 2) ** 2 + (at % size - size // 2) ** 2
+        if distance <= (size // 2) ** 2:
+            far = np.abs(near - own)
+            far = far.sum(axis=-1, keepdims=True) if image.ndim == 3 else far
+            weight = np.exp(-(far**2) / np.float32(2 * sigma_color**2) - np.float32(distance / (2 * sigma_space**2)))
+            total += weight * near
+            weights += weight
+    return _bytes(total / weights)
+
+
+def non_local_means(image: np.ndarray, strength: float = 10, patch: int = 7, window: int = 21) -> np.ndarray:
+    """Each pixel as the mean of those around it, weighted by how alike the patches are; one shift of the window at a time."""
+    r, p = window // 2, patch // 2
+    wide, (h, w) = _padded(image, r + p), image.shape[:2]
+    own = wide[r : r + h + 2 * p, r : r + w + 2 * p]
+    total, weights = np.zeros(image.shape), np.zeros((h, w) + (1,) * (image.ndim - 2))
+    for i in range(window):
+        for j in range(window):
+            other = wide[i : i + h + 2 * p, j : j + w + 2 * p]
+            far = ((other - own) ** 2).astype(float)
+            far = far.mean(axis=-1) if image.ndim == 3 else far
+            sums = np.pad(far.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
+            mean = (sums[patch:, patch:] - sums[:-patch, patch:] - sums[patch:, :-patch] + sums[:-patch, :-patch]) / patch**2
+            weight = np.exp(-np.maximum(mean, 0) / strength**2).reshape(weights.shape)
+            total += weight * other[p : p + h, p : p + w]
+            weights += weight
+    return _bytes(total / weights)
+
+
+def enhance(image: np.ndarray) -> np.ndarray:
+    """Gray, black and white by neighbourhoods, and freed from noise."""
+    return non_local_means(adaptive(image, 11, 2), 10, 7, 21)
+
+
+def crop(image: np.ndarray, x1: int, y1: int, x2: int, y2: int) -> np.ndarray:
+    """What lies in a box, cut at the image's edges; a box without an area there gives an empty image."""
+    h, w = image.shape[:2]
+    y1, x1 = min(max(0, int(y1)), h), min(max(0, int(x1)), w)
+    return image[y1 : max(y1, min(int(y2), h)), x1 : max(x1, min(int(x2), w))]
+
+
+def region_ready(image: np.ndarray, side: int = 1100, most: int = 4) -> np.ndarray:
+    """A region for a recogniser: small ones are made larger by whole numbers."""
+    h, w = image.shape[:2]
+    if not image.size or h >= side and w >= side:
+        return image
+    return upscale(image, max(1, min(side // max(h, w), most)), "nearest")
+
+
+def draw_box(image: np.ndarray, x1: int, y1: int, x2: int, y2: int, color: tuple[int, int, int] = (0, 255, 0), thickness: int = 2, label_size: tuple[int, int] | None = None) -> np.ndarray:
+    """A copy with the box's outline, and the filled bar for a label of that width and height above it; glyphs are left to the caller."""
+    out = np.array(image if image.ndim == 3 else to_rgb(image))
+    paint = lambda a, b, c, d: crop(out, a, b, c, d).__setitem__(Ellipsis, color)
+    lo, hi = thickness // 2, thickness - thickness // 2
+    for a, b, c, d in ((x1, y1, x2, y1), (x1, y2, x2, y2), (x1, y1, x1, y2), (x2, y1, x2, y2)):
+        paint(a - lo, b - lo, c + hi, d + hi)
+    if label_size:
+        paint(x1, y1 - label_size[1] - 10, x1 + label_size[0] + 1, y1 + 1)
+    return out
 
 
 def binarize(image: np.ndarray, limit: float = 127, high: int = 255, inverted: bool = False) -> np.ndarray:
@@ -126,7 +193,7 @@ def binarize(image: np.ndarray, limit: float = 127, high: int = 255, inverted: b
 def adaptive(image: np.ndarray, block: int = 11, c: float = 2) -> np.ndarray:
     """White where a pixel is over its Gaussian neighbourhood less c."""
     one = to_gray(image)
-    mean = _bytes(np.tensordot(gaussian_weights(block), _neighbours(one, block, "edge"), 1)).astype(int)
+    mean = _bytes(_weighted(one, gaussian_weights(block), block, "edge")).astype(int)
     return np.where(one.astype(int) > mean - int(np.ceil(c)), 255, 0).astype(np.uint8)
 
 
@@ -159,8 +226,16 @@ def normalize(image: np.ndarray) -> np.ndarray:
 
 
 def morphology(image: np.ndarray, operation: str = "close", size: int = 3, rounds: int = 1) -> np.ndarray:
-    grow = lambda x, f, fill: f(np.stack([np.pad(x, [(size // 2, size - 1 - size // 2)] * 2 + [(0, 0)] * (x.ndim - 2), constant_values=fill)[i : i + x.shape[0], j : j + x.shape[1]] for i in range(size) for j in range(size)]), axis=0)
-    dilate, erode = (lambda x: grow(x, np.max, 0)), (lambda x: grow(x, np.min, 255))
+
+    def grow(x: np.ndarray, f: Callable, fill: int) -> np.ndarray:
+        wide, out = np.pad(x, [(size // 2, size - 1 - size // 2)] * 2 + [(0, 0)] * (x.ndim - 2), constant_values=fill), None
+        for i in range(size):
+            for j in range(size):
+                part = wide[i : i + x.shape[0], j : j + x.shape[1]]
+                out = part.copy() if out is None else f(out, part)
+        return out
+
+    dilate, erode = (lambda x: grow(x, np.maximum, 0)), (lambda x: grow(x, np.minimum, 255))
     order = {"dilate": [dilate], "erode": [erode], "open": [erode, dilate], "close": [dilate, erode]}[operation]
     for f in order:
         for _ in range(rounds):
@@ -190,7 +265,7 @@ def sharpen(image: np.ndarray, method: str = "unsharp") -> np.ndarray:
     if method == "unsharp":
         return _bytes(1.5 * image.astype(float) - 0.5 * _blurred(image, 13, 2.0))
     if method == "laplacian":
-        return _bytes(np.tensordot(np.array([0, -1, 0, -1, 5, -1, 0, -1, 0], float), _neighbours(image, 3), 1))
+        return _bytes(_weighted(image, np.array([0, -1, 0, -1, 5, -1, 0, -1, 0], float), 3))
     return image
 
 
@@ -206,8 +281,84 @@ def sample(image: np.ndarray, y: np.ndarray, x: np.ndarray, outside: float = 0.0
     return (1 - a) * (1 - b) * wide[i, j] + a * (1 - b) * wide[i + 1, j] + (1 - a) * b * wide[i, j + 1] + a * b * wide[i + 1, j + 1]
 
 
-def rectify(image: np.ndarray, corners: np.ndarray) -> np.ndarray:
-    """The quadrilateral of four corners (x, y) as a rectangle; other numbers of corners: as it is."""
+def _labels(mask: np.ndarray) -> np.ndarray:
+    """Of each set pixel the number of the group of set pixels that touch each other, corners too; -1 elsewhere."""
+    label = np.where(mask, np.arange(mask.size).reshape(mask.shape), -1)
+    while True:
+        wide, new = np.pad(label, 1, constant_values=-1), label
+        for i in range(3):
+            for j in range(3):
+                new = np.maximum(new, wide[i : i + mask.shape[0], j : j + mask.shape[1]])
+        new = np.where(mask, new, -1)
+        flat = new.ravel()
+        while (jump := np.where(flat >= 0, flat[np.maximum(flat, 0)], -1)).tobytes() != flat.tobytes():
+            flat = jump
+        if (flat == label.ravel()).all():
+            return label
+        label = flat.reshape(mask.shape)
+
+
+def _hull(points: np.ndarray) -> np.ndarray:
+    """The convex hull of points (x, y), in order."""
+    points = sorted(set(map(tuple, points.tolist())))
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+    def half(points: list) -> list:
+        out: list = []
+        for p in points:
+            while len(out) > 1 and turn(out[-2], out[-1], p) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return np.array(half(points) + half(points[::-1]) if len(points) > 2 else points, float)
+
+
+def _simplified(line: np.ndarray, tolerance: float) -> np.ndarray:
+    """A closed line with the points that lie further than the tolerance from what the others give."""
+
+    def keep(a: int, b: int) -> list[int]:
+        if b - a < 2:
+            return []
+        p, q = line[a], line[b % len(line)]
+        inner, side = line[a + 1 : b] - p, q - p
+        length = np.hypot(*side)
+        far = np.abs(side[0] * inner[:, 1] - side[1] * inner[:, 0]) / length if length else np.hypot(inner[:, 0], inner[:, 1])
+        at = a + 1 + int(np.argmax(far))
+        return [*keep(a, at), at, *keep(at, b)] if far.max() > tolerance else []
+
+    first = int(np.argmax(np.hypot(*(line - line[0]).T)))
+    start = int(np.argmax(np.hypot(*(line - line[first]).T)))
+    line = np.roll(line, -start, axis=0)
+    other = (first - start) % len(line)
+    return line[sorted({0, *keep(0, other), other, *keep(other, len(line))})] if other else line[:1]
+
+
+def document_corners(image: np.ndarray) -> np.ndarray | None:
+    """The four corners of the outline that holds the largest area among the image's edges; none if it is no quadrilateral."""
+    label = _labels(edges(image) > 0)
+    best, area = None, 0.0
+    y, x = np.nonzero(label >= 0)
+    order = np.argsort(label[y, x], kind="stable")
+    y, x = y[order], x[order]
+    for group in np.split(np.stack([x, y], axis=1), np.flatnonzero(np.diff(label[y, x])) + 1) if len(y) else ():
+        hull = _hull(group)
+        if len(hull) > 2:
+            own = abs(np.sum(hull[:, 0] * np.roll(hull[:, 1], -1) - hull[:, 1] * np.roll(hull[:, 0], -1))) / 2
+            if own > area:
+                best, area = hull, own
+    if best is None:
+        return None
+    around = np.hypot(*(best - np.roll(best, -1, axis=0)).T).sum()
+    corners = _simplified(best, 0.02 * around)
+    return corners if len(corners) == 4 else None
+
+
+def rectify(image: np.ndarray, corners: np.ndarray | None = None) -> np.ndarray:
+    """The quadrilateral of four corners (x, y) as a rectangle; without corners those of the document; other numbers of corners: as it is."""
+    corners = document_corners(image) if corners is None else corners
+    if corners is None:
+        return image
     corners = np.asarray(corners, float)
     if corners.shape != (4, 2):
         return image
@@ -237,8 +388,8 @@ def rotate(image: np.ndarray, degrees: float, keep_size: bool = False) -> np.nda
 
 def edges(image: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
     """Gradient edges: thinned along the gradient, weak ones kept where they touch strong ones."""
-    near = _neighbours(to_gray(image), 3, "edge")
-    gx, gy = np.tensordot(np.array([-1, 0, 1, -2, 0, 2, -1, 0, 1.0]), near, 1), np.tensordot(np.array([-1, -2, -1, 0, 0, 0, 1, 2, 1.0]), near, 1)
+    one = to_gray(image)
+    gx, gy = (_weighted(one, np.array(k, float), 3, "edge") for k in ([-1, 0, 1, -2, 0, 2, -1, 0, 1], [-1, -2, -1, 0, 0, 0, 1, 2, 1]))
     size = np.abs(gx) + np.abs(gy)
     wide, (h, w) = np.pad(size, 1), size.shape
     at = lambda i, j: wide[1 + i : 1 + i + h, 1 + j : 1 + j + w]
@@ -249,7 +400,7 @@ def edges(image: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
     thin = (size > before) & (size >= after) & (size > low)
     strong = thin & (size > high)
     while True:
-        grown = thin & (_neighbours(strong.astype(float), 3, "edge").max(axis=0) > 0)
+        grown = thin & (morphology(strong.astype(np.uint8), "dilate") > 0)
         if (grown == strong).all():
             return np.where(strong, 255, 0).astype(np.uint8)
         strong = grown
@@ -319,7 +470,13 @@ def upscale_with_fallback(image: np.ndarray, scale: int) -> np.ndarray:
 
 def smart_upscale(image: np.ndarray, least: int = 1000) -> np.ndarray:
     small = min(image.shape[:2])
-    return image if small >= least else adaptive_upscale(image, min(4, -(-least // small)))
+    if small >= least:
+        return image
+    scale = min(4, -(-least // small))
+    try:
+        return adaptive_upscale(image, scale)
+    except (ValueError, IndexError, ZeroDivisionError):
+        return upscale_with_fallback(image, scale)
 
 
 def equalize_tiles(image: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarray:
@@ -382,6 +539,8 @@ STEPS: dict[str, Callable[..., np.ndarray]] = {
     "tax": tax_card,
     "mrz": zone,
     "basic": basic,
+    "enhance": enhance,
+    "region": region_ready,
 }
 #: Step lists by name. Fixed values.
 PIPELINES = {
@@ -420,3 +579,25 @@ def apply_steps(images: DataFrame, steps: list[tuple[str, dict]], batch_images:
 
     picked = images.select("doc_id", "height", "width", "channels", "data")
     return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, height int, width int, channels int, data binary, skipped array<string>")
+
+
+def crops(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Rows of boxes (doc_id, ord, x1, y1, x2, y2) with the pixels of each region, made ready: height, width, channels, data.
+
+    An image is sent to its document's boxes once, as one group of bounded size; a box without an area has no row.
+    """
+    packed = boxes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "x1", "y1", "x2", "y2"))).alias("boxes"))
+    joined = images.select("doc_id", "height", "width", "channels", "data").join(packed, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, (h, w, c, data, own) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True)):
+                image = np.frombuffer(data, np.uint8).reshape((h, w) if c == 1 else (h, w, c))
+                rows = [(b, region_ready(crop(image, b["x1"], b["y1"], b["x2"], b["y2"]))) for b in own]
+                rows = [(b["ord"], x.shape[0], x.shape[1], c, np.ascontiguousarray(x).tobytes()) for b, x in rows if x.size]
+                if rows:
+                    types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                    columns = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([row] * len(rows))), *columns], names=["doc_id", "ord", "height", "width", "channels", "data"])
+
+    return joined.mapInArrow(run, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, ord int, height int, width int, channels int, data binary")

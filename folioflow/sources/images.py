@@ -6,15 +6,17 @@ import io
 import urllib.request
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.routing import source_kind
+from . import png
 
 try:
     from PIL import Image
-except ImportError:  # decoding of image formats is optional; raw bytes pass through without it
+except ImportError:  # PNG needs no image library, other formats do
     Image = None
 
 
@@ -75,10 +77,12 @@ def decoded(contents: DataFrame) -> DataFrame:
             rows = []
             for content in batch.column(1).to_pylist():
                 try:
-                    if Image is None:
-                        raise ValueError("no image decoder is installed")
-                    image = Image.open(io.BytesIO(content)).convert("RGB")
-                    rows.append((image.height, image.width, 3, image.tobytes(), None))
+                    if Image is None or content[:8] == png.SIGNATURE:
+                        image = png.rgb(content)
+                        rows.append((*image.shape, np.ascontiguousarray(image).tobytes(), None))
+                    else:
+                        image = Image.open(io.BytesIO(content)).convert("RGB")
+                        rows.append((image.height, image.width, 3, image.tobytes(), None))
                 except (OSError, ValueError, TypeError) as e:
                     rows.append((None, None, None, None, f"InputSourceException: {e}"))
             types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
@@ -87,3 +91,36 @@ def decoded(contents: DataFrame) -> DataFrame:
 
     picked = contents.select("doc_id", "content")
     return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, height int, width int, channels int, data binary, error string")
+
+
+def as_rgb_png(contents: DataFrame) -> DataFrame:
+    """(doc_id, content) -> (doc_id, content, error): every picture as a PNG in red, green and blue."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for h, w, c, data in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                out.append(None if data is None else png.encoded(np.frombuffer(data, np.uint8).reshape(h, w, c)[..., ::-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(5)], names=["doc_id", "content", "error"])
+
+    pixels = decoded(contents)
+    return pixels.mapInArrow(run, f"doc_id {pixels.schema['doc_id'].dataType.simpleString()}, content binary, error string")
+
+
+def first_given(content: Column, path_content: Column, pixels: Column) -> Column:
+    """struct<given, error>: which of an image's three forms is read: bytes win over a path, a path over an array; none is an error."""
+    given = F.when(content.isNotNull(), "bytes").when(path_content.isNotNull(), "path").when(pixels.isNotNull(), "array")
+    return F.struct(given.alias("given"), F.when(given.isNull(), "ValueError").alias("error"))
+
+
+#: A scan's states, in the order in which they can follow each other; an error can follow each but the last. Fixed values.
+SCAN_STATES = ("idle", "initializing", "scanning", "processing", "completed")
+
+
+def scanner_transitions(events: DataFrame) -> DataFrame:
+    """scan_id, ts, status, valid of each event: the first is idle, the others go one step on, back to idle from the end, or to error."""
+    place = F.array_position(F.array(*map(F.lit, SCAN_STATES)), F.col("status"))
+    before = F.lag("status").over(Window.partitionBy("scan_id").orderBy("ts"))
+    known = F.array_position(F.array(*map(F.lit, SCAN_STATES)), before)
+    follows = F.when(before.isNull(), F.col("status") == "idle").when(before.isin("error", "completed"), F.col("status").isin("idle", "initializing"))
+    return events.select("scan_id", "ts", "status", follows.otherwise((F.col("status") == "error") | (place == known + 1)).alias("valid"))

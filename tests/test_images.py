@@ -72,3 +72,87 @@ def test_named_preprocessors():
     assert im.upscale_with_fallback(PHOTO, 2).shape == (48, 60)
     for steps in im.PIPELINES.values():
         assert im.run_steps(color, steps)[1] == []
+
+
+def test_neighbourhoods_against_single_pixels():
+    """Sums over shifts give what a window around each pixel gives."""
+    wide = np.pad(PHOTO, 2, mode="edge")
+    assert im.denoise(PHOTO, "median")[7, 9] == np.median(wide[7:12, 9:14])
+    assert (im.denoise(PHOTO, "median") == [[np.median(wide[y : y + 5, x : x + 5]) for x in range(30)] for y in range(24)]).all()
+    mirrored = np.pad(PHOTO.astype(float), 4, mode="reflect")
+    y, x = np.mgrid[-4:5, -4:5]
+    near = mirrored[10:19, 12:21]
+    weight = (y**2 + x**2 <= 16) * np.exp(-(y**2 + x**2) / (2 * 75**2) - (near - PHOTO[10, 12]) ** 2.0 / (2 * 75**2))
+    assert abs(int(im.denoise(PHOTO, "bilateral")[10, 12]) - (weight * near).sum() / weight.sum()) <= 0.51
+
+
+def test_memory_of_large_neighbourhoods():
+    """A bilateral filter over 121 neighbours holds a few images, not 121."""
+    import tracemalloc
+
+    photo = RNG.integers(0, 256, (500, 500), dtype=np.uint8)
+    tracemalloc.start()
+    im.bilateral(photo, 11, 17, 17)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * photo.size * 4
+
+
+def test_non_local_means():
+    flat = np.full((30, 30), 100, np.uint8)
+    assert (im.non_local_means(flat) == 100).all()
+    noisy = np.clip(100 + RNG.normal(0, 4, (30, 30)), 0, 255).astype(np.uint8)
+    noisy[:, 15:] += 80
+    out = im.non_local_means(noisy, 10, 5, 11).astype(float)
+    assert out[5:25, 3:10].std() < noisy[5:25, 3:10].std() / 1.5
+    assert abs(out[5:25, 3:10].mean() - 100) < 2 and abs(out[5:25, 20:27].mean() - 180) < 2
+    assert set(np.unique(im.adaptive(noisy))) <= {0, 255} and im.enhance(noisy).shape == (30, 30)
+
+
+def test_crops_and_boxes():
+    assert (im.crop(PHOTO, 3, 2, 8, 30) == PHOTO[2:24, 3:8]).all()
+    assert im.crop(PHOTO, -5, -5, 2, 2).shape == (2, 2) and not im.crop(PHOTO, 9, 9, 4, 4).size and not im.crop(PHOTO, 40, 2, 50, 9).size
+    assert im.region_ready(PHOTO).shape == (96, 120)
+    assert im.region_ready(np.zeros((600, 500), np.uint8)).shape == (600, 500)
+    assert im.region_ready(np.zeros((500, 300), np.uint8)).shape == (1000, 600)
+    drawn = im.draw_box(np.zeros((40, 60, 3), np.uint8), 10, 15, 30, 35, label_size=(12, 4))
+    assert (drawn[15, 20] == (0, 255, 0)).all() and (drawn[25, 10] == (0, 255, 0)).all() and not drawn[25, 20].any()
+    assert (drawn[3, 15] == (0, 255, 0)).all() and not drawn[3, 40].any()
+
+
+def test_document_corners():
+    """A dark sheet, turned a little, on a light table is found and rectified; noise without an outline stays as it is."""
+    table = np.full((160, 200), 220, np.uint8)
+    y, x = np.mgrid[:160, :200]
+    inside = (y > 30 + 0.05 * x) & (y < 120 + 0.05 * x) & (x > 40) & (x < 160)
+    table[inside] = 40
+    corners = im.document_corners(table)
+    want = [(40, 32), (160, 38), (160, 128), (40, 122)]
+    assert all(min(np.hypot(*(c - np.array(p))) for c in corners) < 4 for p in want)
+    out = im.rectify(table)
+    assert abs(out.shape[0] - 90) < 6 and abs(out.shape[1] - 120) < 6 and (out[5:-5, 5:-5] < 60).all()
+    flat = np.full((40, 40), 9, np.uint8)
+    assert im.rectify(flat) is flat
+
+
+def test_png():
+    from folioflow.sources import png
+
+    color = RNG.integers(0, 256, (13, 17, 3), dtype=np.uint8)
+    assert (png.rgb(png.encoded(color)) == color[..., ::-1]).all()
+    assert (png.rgb(png.encoded(PHOTO)) == PHOTO[..., None]).all()
+    assert (png.rgb(png.encoded(PHOTO / 255.0))[..., 0] == (PHOTO / 255.0 * 255).astype(np.uint8)).all()
+    with pytest.raises(ValueError):
+        png.rgb(b"no picture")
+    with pytest.raises(ValueError):
+        png.rgb(png.encoded(PHOTO)[:60])
+    raw = PHOTO.astype(int)
+    for kind in range(5):  # each filter undone
+        lines = []
+        for y in range(24):
+            up, left = (raw[y - 1] if y else np.zeros(30, int)), np.append(0, raw[y][:-1])
+            corner = np.append(0, up[:-1])
+            to = np.abs(np.stack([up - corner, left - corner, left + up - 2 * corner]))
+            paeth = np.where((to[0] <= to[1]) & (to[0] <= to[2]), left, np.where(to[1] <= to[2], up, corner))
+            lines.append(bytes([kind]) + ((raw[y] - [np.zeros(30, int), left, up, (left + up) // 2, paeth][kind]) % 256).astype(np.uint8).tobytes())
+        assert (png._unfiltered(b"".join(lines), 24, 30, 1) == PHOTO).all()

@@ -129,3 +129,57 @@ def test_documents_to_records(spark):
     assert json.loads(got[3]["fields"]) == {"general": "total 5"}
     assert (got[4]["document_type"], got[4]["error"], got[4]["fields"]) == ("No_Class", "PreprocessingException", None)
     assert got[1]["metadata"]["document_type"] == "ID_Front"
+
+
+def _picture(seed, h=9, w=7):
+    import numpy as np
+
+    return np.random.default_rng(seed).integers(0, 256, (h, w, 3), dtype=np.uint8)
+
+
+def test_pictures_in_and_out(spark, tmp_path):
+    """Arrays become pictures with their channels swapped, any picture becomes a PNG in RGB, crops are rows of a table."""
+    import numpy as np
+
+    from folioflow.sources import png
+
+    photo = _picture(1)
+    gray = photo[..., 0].copy()
+    pixels = spark.createDataFrame([(1, 9, 7, 3, bytearray(photo.tobytes())), (2, 9, 7, 1, bytearray(gray.tobytes())), (3, 9, 9, 3, bytearray(b"short"))], "doc_id long, height int, width int, channels int, data binary")
+    made = sinks.encoded_images(pixels)
+    got = {r["doc_id"]: r for r in made.collect()}
+    assert (png.rgb(bytes(got[1]["content"])) == photo[..., ::-1]).all()
+    assert (png.rgb(bytes(got[2]["content"])) == gray[..., None]).all()
+    assert got[3]["content"] is None and got[3]["error"].startswith("ValueError")
+    again = {r["doc_id"]: r for r in sources.as_rgb_png(made.select("doc_id", "content").union(spark.createDataFrame([(9, bytearray(b"junk"))], "doc_id long, content binary"))).collect()}
+    assert (png.rgb(bytes(again[1]["content"])) == photo[..., ::-1]).all()
+    assert (png.rgb(bytes(again[2]["content"])) == gray[..., None]).all()
+    assert again[9]["content"] is None and again[9]["error"].startswith("InputSourceException")
+    back = {r["doc_id"]: r for r in sources.decoded(made).collect()}
+    assert (np.frombuffer(back[1]["data"], np.uint8).reshape(9, 7, 3) == photo[..., ::-1]).all()
+    sinks.write_pictures(made, str(tmp_path / "pictures"))
+    assert spark.read.parquet(str(tmp_path / "pictures")).count() == 2
+    if sinks.Image is None:
+        assert sinks.encoded_images(pixels, "JPEG").where("error is null").count() == 0
+
+
+def test_regions_are_cropped_and_made_ready(spark):
+    import numpy as np
+
+    photo = _picture(2, 40, 60)
+    pixels = spark.createDataFrame([(1, 40, 60, 3, bytearray(photo.tobytes()))], "doc_id long, height int, width int, channels int, data binary")
+    boxes = spark.createDataFrame([(1, 1, 5, 6, 25, 16), (1, 2, 50, 30, 90, 90), (1, 3, 9, 9, 4, 4), (7, 1, 0, 0, 5, 5)], "doc_id long, ord int, x1 int, y1 int, x2 int, y2 int")
+    got = {r["ord"]: np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["channels"]) for r in images.crops(pixels, boxes).collect()}
+    assert set(got) == {1, 2}
+    assert (got[1][::4, ::4] == photo[6:16, 5:25]).all() and got[1].shape == (40, 80, 3)
+    assert (got[2][::4, ::4] == photo[30:40, 50:60]).all()
+
+
+def test_forms_of_input_and_scans(spark):
+    rows = spark.createDataFrame([(bytearray(b"a"), bytearray(b"b"), None), (None, bytearray(b"b"), bytearray(b"c")), (None, None, bytearray(b"c")), (None, None, None)], "c binary, p binary, x binary")
+    got = [tuple(r[0]) for r in rows.select(sources.first_given(F.col("c"), F.col("p"), F.col("x"))).collect()]
+    assert got == [("bytes", None), ("path", None), ("array", None), (None, "ValueError")]
+    steps = ["idle", "initializing", "scanning", "processing", "completed", "initializing", "error", "scanning"]
+    events = spark.createDataFrame([("s", i, x) for i, x in enumerate(steps)] + [("t", 0, "scanning")], "scan_id string, ts int, status string")
+    got = {(r["scan_id"], r["ts"]): r["valid"] for r in sources.scanner_transitions(events).collect()}
+    assert got == {**{("s", i): i < 7 for i in range(8)}, ("t", 0): False}
