@@ -1,53 +1,86 @@
 """Keyed, time-based state in batch: sliding-log rate limit, expiring cache, keys.
 
 State cannot outlive a pause as long as the window, so a key's events are first cut at such pauses (a
-running window over the sorted key, nothing buffered) and folded per piece: a hot key is many small groups.
+running window over the sorted key, nothing buffered); the pieces are dealt out again, so a busy key with
+pauses is many small groups. A piece is folded in the order of its events as they stream by: the state is
+the log of the last window alone, whatever the length of the piece.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def _pieces(events: DataFrame, key: str, time: str, order: str, pause: float) -> DataFrame:
-    """events with seconds (double) and piece."""
+    """key, order, seconds (double), piece."""
     by = Window.partitionBy(key).orderBy("seconds", order)
-    timed = events.withColumn("seconds", F.unix_micros(F.col(time).cast("timestamp")) / 1e6)
+    timed = events.select(key, order, (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("seconds"))
     fresh = F.coalesce((F.col("seconds") - F.lag("seconds").over(by) >= pause).cast("int"), F.lit(1))
     return timed.withColumn("piece", F.sum(fresh).over(by.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def _folded(events: DataFrame, key: str, order: str, start: Column, step, out: str) -> DataFrame:
-    """Fold each piece in order; step gives struct<..., flags>, one flag an event."""
-    packed = events.groupBy(key, "piece").agg(F.array_sort(F.collect_list(F.struct("seconds", order))).alias("list"))
-    flags = F.aggregate("list", start, step, lambda s: s["flags"])
-    rows = packed.select(key, F.explode(F.arrays_zip("list", flags.alias("flags"))).alias("e"))
-    return rows.select(key, F.col(f"e.list.{order}").alias(order), F.col("e.list.seconds").alias("seconds"), F.col("e.flags").alias(out))
+def _folded(pieces: DataFrame, key: str, order: str, fresh: Callable[[], Callable[[float], bool]], out: str) -> DataFrame:
+    """key, order, seconds and a flag an event; fresh makes the fold of a new piece, a function of an event's time."""
+    names, types = [key, order, "seconds", out], dict(pieces.dtypes)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, step = None, fresh()
+        for batch in batches:
+            flags = []
+            for who, piece, seconds in zip(*(batch.column(i).to_pylist() for i in (0, 3, 2)), strict=True):
+                if (who, piece) != last:
+                    last, step = (who, piece), fresh()
+                flags.append(step(seconds))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(flags, pa.bool_())], names=names)
+
+    ordered = pieces.repartition(key, "piece").sortWithinPartitions(key, "piece", "seconds", order)
+    return ordered.select(key, order, "seconds", "piece").mapInArrow(run, f"`{key}` {types[key]}, `{order}` {types[order]}, seconds double, `{out}` boolean")
+
+
+def sliding_log(limit: int, window: float, log: list[float] | None = None) -> Callable[[float], bool]:
+    """Whether the event at a time is allowed, event by event; .log is the state."""
+    times = deque(log or ())
+
+    def step(now: float) -> bool:
+        while times and now - times[0] >= window:
+            times.popleft()
+        if len(times) >= limit:
+            return False
+        times.append(now)
+        return True
+
+    step.log = times
+    return step
 
-def rate_limited(events: DataFrame, key: str, time: str, order: str, limit: int = 100, window: float = 60.0) -> DataFrame:
-    """key, order, seconds, allowed. Allowed if fewer than limit allowed events lie less than window seconds back; refused ones do not count."""
-    start = F.struct(F.array().cast("array<double>").alias("log"), F.array().cast("array<boolean>").alias("flags"))
 
-    def step(state: Column, event: Column) -> Column:
-        recent = F.filter(state["log"], lambda t: event["seconds"] - t < window)
-        allowed = F.size(recent) < limit
-        return F.struct(F.when(allowed, F.concat(recent, F.array(event["seconds"]))).otherwise(recent).alias("log"), F.concat(state["flags"], F.array(allowed)).alias("flags"))
+def expiring(ttl: float, expiry: float = float("-inf")) -> Callable[[float], bool]:
+    """Whether the access at a time is a hit, access by access; .expiry() is the state."""
 
-    return _folded(_pieces(events, key, time, order, window), key, order, start, step, "allowed")
+    def step(now: float) -> bool:
+        nonlocal expiry
+        if now < expiry:
+            return True
+        expiry = now + ttl
+        return False
+
+    step.expiry = lambda: expiry
+    return step
+
+
+def rate_limited(events: DataFrame, key: str, time: str, order: str, limit: int = 100, window: float = 60.0) -> DataFrame:
+    """key, order, seconds, allowed. Allowed if fewer than limit allowed events lie less than window seconds back; refused ones do not count."""
+    return _folded(_pieces(events, key, time, order, window), key, order, lambda: sliding_log(limit, window), "allowed")
 
 
 def cache_hits(events: DataFrame, key: str, time: str, order: str, ttl: float = 3600.0) -> DataFrame:
     """key, order, seconds, hit. A miss stores the value for ttl seconds (0 means the default, 3600); a hit does not extend it."""
     ttl = ttl or 3600.0
-    start = F.struct(F.lit(None).cast("double").alias("expiry"), F.array().cast("array<boolean>").alias("flags"))
-
-    def step(state: Column, event: Column) -> Column:
-        hit = F.coalesce(event["seconds"] < state["expiry"], F.lit(False))
-        return F.struct(F.when(hit, state["expiry"]).otherwise(event["seconds"] + ttl).alias("expiry"), F.concat(state["flags"], F.array(hit)).alias("flags"))
-
-    return _folded(_pieces(events, key, time, order, ttl), key, order, start, step, "hit")
+    return _folded(_pieces(events, key, time, order, ttl), key, order, lambda: expiring(ttl), "hit")
 
 
 def memoised(requests: DataFrame, computed: DataFrame, *keys: str) -> DataFrame:

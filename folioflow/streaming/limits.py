@@ -1,52 +1,46 @@
-"""The rate limit and the expiring cache as stateful streams."""
+"""The rate limit and the expiring cache as stateful streams.
+
+The events of a key in a micro-batch are put in order before they are folded. State goes once the watermark has
+passed the time from which it cannot matter any more; events that are later than the watermark allows are dropped.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.state import expiring, sliding_log
 
-def rate_limited_stream(events: DataFrame, key: str, time: str, order: str, limit: int = 100, window: float = 60.0) -> DataFrame:
-    """key, order, allowed for each event as it comes; the state is the log of allowed times of the last window."""
 
+def _stream(events: DataFrame, key: str, time: str, order: str, keeps: float, late: float, out: str, load: Callable, save: Callable, state_type: str) -> DataFrame:
     def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        log = list(state.get[0]) if state.exists else []
-        for rows in batches:
-            rows = rows.sort_values(["seconds", order])
-            flags = []
-            for now in rows["seconds"]:
-                log = [t for t in log if now - t < window]
-                flags.append(len(log) < limit)
-                if flags[-1]:
-                    log.append(float(now))
-            yield pd.DataFrame({key: name[0], order: rows[order].to_numpy(), "allowed": flags})
-        state.update((log,))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        step = load(state.get[0] if state.exists else None)
+        rows = pd.concat(list(batches)).sort_values(["seconds", order])
+        flags = [step(float(now)) for now in rows["seconds"]]
+        state.update((save(step),))
+        # no earlier than the watermark, which may have passed the group's last event
+        state.setTimeoutTimestamp(max(int((rows["seconds"].iloc[-1] + keeps) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: name[0], order: rows[order].to_numpy(), out: flags})
 
     types = dict(events.dtypes)
-    timed = events.select(key, order, (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("seconds"))
-    return timed.groupBy(key).applyInPandasWithState(run, f"{key} {types[key]}, {order} {types[order]}, allowed boolean", "log array<double>", "append", GroupStateTimeout.NoTimeout)
+    timed = events.select(key, order, F.col(time).cast("timestamp").alias("event_time")).withWatermark("event_time", f"{late} seconds")
+    timed = timed.withColumn("seconds", F.unix_micros("event_time") / 1e6)
+    return timed.groupBy(key).applyInPandasWithState(run, f"{key} {types[key]}, {order} {types[order]}, {out} boolean", state_type, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def cache_hits_stream(events: DataFrame, key: str, time: str, order: str, ttl: float = 3600.0) -> DataFrame:
-    """key, order, hit for each access as it comes; the state is when the stored value expires."""
-    ttl = ttl or 3600.0
+def rate_limited_stream(events: DataFrame, key: str, time: str, order: str, limit: int = 100, window: float = 60.0, late: float = 600.0) -> DataFrame:
+    """key, order, allowed for each event as it comes; the state is the log of allowed times of the last window."""
+    return _stream(events, key, time, order, window, late, "allowed", lambda log: sliding_log(limit, window, log), lambda step: list(step.log), "log array<double>")
 
-    def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        expiry = state.get[0] if state.exists else float("-inf")
-        for rows in batches:
-            rows = rows.sort_values(["seconds", order])
-            flags = []
-            for now in rows["seconds"]:
-                flags.append(bool(now < expiry))
-                if not flags[-1]:
-                    expiry = float(now) + ttl
-            yield pd.DataFrame({key: name[0], order: rows[order].to_numpy(), "hit": flags})
-        state.update((expiry,))
 
-    types = dict(events.dtypes)
-    timed = events.select(key, order, (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("seconds"))
-    return timed.groupBy(key).applyInPandasWithState(run, f"{key} {types[key]}, {order} {types[order]}, hit boolean", "expiry double", "append", GroupStateTimeout.NoTimeout)
+def cache_hits_stream(events: DataFrame, key: str, time: str, order: str, ttl: float = 3600.0, late: float = 600.0) -> DataFrame:
+    """key, order, hit for each access as it comes; the state is when the stored value expires."""
+    ttl = ttl or 3600.0
+    return _stream(events, key, time, order, ttl, late, "hit", lambda expiry: expiring(ttl) if expiry is None else expiring(ttl, expiry), lambda step: step.expiry(), "expiry double")
