@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -205,10 +206,9 @@ for _name, _kind in ZONE_QUERIES.items():
 
 @query("select mrz_type, status, status_message, count(*) as n from (" + " union all ".join(f"select '{k}' as mrz_type, status, status_message from ({_zone_oracle(k)}) o" for k in ZONE_QUERIES.values()) + ") a group by 1, 2, 3")
 def mrz_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [_zones(spark, sf_dir, k).select(F.lit(k).alias("mrz_type"), "status", "status_message") for k in ZONE_QUERIES.values()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    parts = [derived(spark, sf_dir, _zone_sql(k, _spark_digit)).select(F.lit(k).alias("kind"), "zone") for k in ZONE_QUERIES.values()]
+    zones = reduce(DataFrame.unionByName, parts).hint("rebalance")  # else the parser's plan is moved into each part and compiled five times
+    out = mrz.parsed(zones, F.col("zone")).select(F.col("kind").alias("mrz_type"), "mrz.status", "mrz.status_message")
     return out.groupBy("mrz_type", "status", "status_message").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -238,6 +238,16 @@ def general_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(docs.withColumn("stripped", envelope.stripped(F.col("text"))), envelope.general_parse(F.col("text")), "doc_id", "stripped")
 
 
+@query(
+    r"""select conv_id, turn, case when text <> '' then text end as extracted_text, case when text <> '' then 200 else 400 end as status,
+  case when text <> '' then null else 'Failed to extract text' end as error from (select conv_id, turn, case when conv_id % 7 = 0 then '' when conv_id % 11 = 0 then null else text end as text from conversations) t"""
+)
+def ocr_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blank = F.when(F.col("conv_id") % 7 == 0, "").when(F.col("conv_id") % 11 != 0, F.col("text"))
+    turns = inputs.tables(spark, sf_dir, "conversations")["conversations"]
+    return turns.select("conv_id", "turn", envelope.extracted(blank).alias("e")).select("conv_id", "turn", "e.*")
+
+
 # --- text -----------------------------------------------------------------------------------------
 
 _CLEAN = r"regexp_replace({}, '[\x{200E}\x{200F}\x00-\x1F\x7F-\x{9F}]', '', 'g')"
@@ -276,10 +286,6 @@ def text_mrz_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, _MARKED).select("doc_id", text.normalize_mrz(F.col("text")).alias("zone"), text.mrz_fixes(F.col("text")).alias("fixed"))
 
 
-_ASCII = "select doc_id, replace(replace(text, ' the ', ' 0 l rn '), ' of ', ' a|b vv ') as text from documents where lang = 'en' and length(text) = octet_length(encode(text))"
-_ASCII_SPARK = _ASCII.replace("octet_length(encode(text))", "octet_length(text)")
-
-
 def _nested(value: str, *fixes: tuple[str, str]) -> str:
     for pattern, other in fixes:
         value = rf"regexp_replace({value}, '\b{pattern}\b', '{other}', 'g')"
@@ -289,17 +295,21 @@ def _nested(value: str, *fixes: tuple[str, str]) -> str:
 _ENGLISH_FIXES = (("0", "O"), ("l", "I"), (r"\|", "I"), ("rn", "m"), ("vv", "w"))
 
 
-@query(f"select doc_id, {_nested('text', *_ENGLISH_FIXES)} as fixed from ({_ASCII}) a")
-def text_english_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, sf_dir, "fixed", text.english_fixes, _ASCII_SPARK)
+def _whole_words(value: str) -> str:
+    """The fixes with word characters of any script. A match takes the characters around it, so neighbours need a second pass."""
+    for pattern, other in _ENGLISH_FIXES:
+        before, after = (r"([\p{L}\p{N}_])",) * 2 if other == "I" and pattern != "l" else (r"(^|[^\p{L}\p{N}_])", r"([^\p{L}\p{N}_]|$)")
+        for _ in range(2):
+            value = rf"regexp_replace({value}, '{before}{pattern}{after}', '\1{other}\2', 'g')"
+    return value
 
 
 _ENGLISH = "select doc_id, replace(replace(text, ' the ', ' 0 l rn '), ' of ', ' a|b vv ') as text from documents where lang = 'en'"
 
 
-@query()
-def text_english_fixes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All English documents. Word boundaries here are Unicode's, DuckDB's are ASCII's, so there is no SQL."""
+@query(f"select doc_id, {_whole_words('text')} as fixed from ({_ENGLISH}) a")
+def text_english_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in English."""
     return _texts(spark, sf_dir, "fixed", text.english_fixes, _ENGLISH)
 
 
@@ -316,37 +326,24 @@ def text_postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DETECT = r"""case when length(t) < 2 then 'en' when regexp_matches(t, '[\x{0600}-\x{06FF}]') then 'ar'
   when len(regexp_extract_all(t, '\p{Nd}')) / cast(length(t) as double) > 0.7 then 'ara_number'
   when regexp_full_match(t, '[A-Z0-9<]+\n?') and contains(t, '<') then 'mrz' when regexp_matches(t, '[A-Za-z]') then 'en' else 'en' end"""
-_SNIPPETS = """select doc_id * 10 as id, text as t from documents union all select doc_id * 10 + 1, substr(upper(replace(text, 'ß', 's')), 1, 3) || '<' from documents
+_SNIPPETS = """select doc_id * 10 as id, text as t from documents union all select doc_id * 10 + 1, upper(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) || '<' from documents
 union all select page_id * 10 + 2, url from pages union all select doc_id * 10 + 3, cast(doc_id * 7919 as string) || 'ab' from documents
-union all select doc_id * 10 + 4, translate(substr(text, 1, 40), 'aeiou', 'اإيةو') from documents"""
+union all select doc_id * 10 + 4, translate(text, 'aeiou', 'اإيةو') from documents"""
 
 
 @query(f"select id, {_DETECT} as language from ({_SNIPPETS}) s")
 def text_language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, _SNIPPETS).select("id", text.detect_language(F.col("t")).alias("language"))
-
-
-@query(
-    rf"""select doc_id, case when regexp_matches(text, '[\x{{0600}}-\x{{06FF}}]') then array_to_string(list_reverse(list_transform(string_split(regexp_replace(text, '[^\x{{0600}}-\x{{06FF}}\p{{Nd}} .,!?\-:;()\[\]{{}}/]', '', 'g'), ' '), lambda p: reverse(p))), ' ') else text end as repaired
-from (select doc_id, translate(substr(text, 1, 400), 'aeiou', 'اإيةو') as text from documents) a"""
-)
-def text_arabic_token_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, sf_dir, "repaired", text.repair_arabic, "select doc_id, translate(substr(text, 1, 400), 'aeiou', 'اإيةو') as text from documents")
+    return derived(spark, sf_dir, _SNIPPETS.replace(", 'g')", ")")).select("id", text.detect_language(F.col("t")).alias("language"))
 
 
 @query(
     rf"""select doc_id, case when regexp_matches(text, '[\x{{0600}}-\x{{06FF}}]') then array_to_string(list_reverse(list_transform(string_split(regexp_replace(text, '[^\x{{0600}}-\x{{06FF}}\p{{Nd}} .,!?\-:;()\[\]{{}}/]', '', 'g'), ' '), lambda p: reverse(p))), ' ') else text end as repaired
 from ({inputs.ARABIC}) a"""
 )
-def text_arabic_token_fix_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def text_arabic_token_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir, "repaired", text.repair_arabic, inputs.ARABIC)
 
 
-@query(f"select doc_id, {_DETECT} as language from (select doc_id, text as t from ({inputs.ARABIC}) a) s")
-def text_language_detect_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, sf_dir, "language", text.detect_language, inputs.ARABIC)
-
-
 # --- boxes and layout -----------------------------------------------------------------------------
 
 
@@ -546,14 +543,22 @@ def enum_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""select key, case engine when 'paddle' then case language {" ".join(f"when '{k}' then '{v}'" for k, v in routing.PADDLE_LANGUAGES.items())} else 'en' end when 'tesseract' then 'ara+eng' end as lang,
-  case when key % 4 = 0 then '0.9' when engine = 'yolo_ar_num' then '0.4' else '0.5' end as confidence_threshold from (select key, language, {"case key % 5 " + " ".join(f"when {i} then '{e}'" for i, e in enumerate(routing.ENGINES)) + " end"} as engine from ({_PAIRS}) p) e"""
+    f"""select key, engine,
+  case engine when 'paddle' then case language when 'ar' then 'ar' when 'ara_number' then 'ar' when 'zh' then 'ch' when 'ja' then 'japan' when 'ko' then 'korean' else 'en' end when 'tesseract' then 'ara+eng' end as lang,
+  case when key % 4 = 0 then '0.9' when engine = 'yolo_ar_num' then '0.4' else '0.5' end as confidence_threshold,
+  case engine when 'tesseract' then case language when 'mrz' then '--psm 6 --oem 3 -c tessedit_char_whitelist=ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789<' when 'ara_number' then '--psm 7 --oem 3 -c tessedit_char_whitelist=0123456789' else '--psm 6 --oem 3' end end as config,
+  case engine when 'tesseract' then 'confidence_threshold,config,lang,timeout' when 'surya' then 'batch_size,cache_dir,confidence_threshold'
+    when 'paddle' then 'confidence_threshold,det_db_box_thresh,det_db_thresh,det_limit_side_len,det_limit_type,lang,show_log,use_angle_cls,use_gpu'
+    when 'easy_ocr' then 'confidence_threshold,detector,gpu,model_storage_directory,recognizer' else 'confidence_threshold,model_path' end as options
+from (select key, language, case key % 5 when 0 then 'tesseract' when 1 then 'surya' when 2 then 'paddle' when 3 then 'easy_ocr' else 'yolo_ar_num' end as engine from ({_PAIRS}) p) e"""
 )
 def engine_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = F.get(F.array(*map(F.lit, routing.ENGINES)), (F.col("key") % 5).cast("int"))
     given = F.when(F.col("key") % 4 == 0, F.create_map(F.lit("confidence_threshold"), F.lit("0.9"))).otherwise(F.create_map().cast("map<string,string>"))
-    options = routing.engine_options(engine, F.col("language"), given)
-    return derived(spark, sf_dir, _PAIRS).select("key", F.try_element_at(options, F.lit("lang")).alias("lang"), F.try_element_at(options, F.lit("confidence_threshold")).alias("confidence_threshold"))
+    rows = derived(spark, sf_dir, _PAIRS).withColumn("engine", engine)
+    rows = rows.withColumn("options", routing.engine_options(F.col("engine"), F.col("language"), given))
+    one = lambda k: F.try_element_at("options", F.lit(k)).alias(k)
+    return rows.select("key", "engine", one("lang"), one("confidence_threshold"), one("config"), F.array_join(F.array_sort(F.map_keys("options")), ",").alias("options"))
 
 
 _PATHS = "select event_id, case event_id % 6 when 0 then '/v1/x' when 1 then '/docs/a' when 2 then '/ocr/ocr' when 3 then '/openapi.json' when 4 then '/api/v1/ocr' else '/roi/roi/2' end as path, case event_id % 4 when 0 then 'Bearer k' when 1 then 'Bearer no' when 2 then 'Basic k' end as auth, case event_id % 3 when 0 then 'k' end as header from events"

@@ -53,3 +53,9 @@ def input_given(kind: Column, data: Column) -> Column:
 def data_uri_image(text: Column) -> Column:
     """The bytes of a base64 image URI; null if it is none."""
     return F.when(text.startswith("data:image/"), F.try_to_binary(F.substring_index(text, ",", -1), F.lit("base64")))
+
+
+def extracted(text: Column) -> Column:
+    """struct<extracted_text, status, error>: an empty or missing text is the caller's error."""
+    there = F.coalesce(text, F.lit("")) != ""
+    return F.struct(F.when(there, text).alias("extracted_text"), F.when(there, 200).otherwise(400).alias("status"), F.when(~there, "Failed to extract text").alias("error"))

@@ -60,3 +60,17 @@ def test_seeding_leaves_generators_as_they_were():
     with plugins.seeded(5):
         assert inside == (random.random(), np.random.rand())
     assert a == (random.random(), np.random.rand())
+
+
+def test_memory_limit_and_preload():
+    plugins.clear()
+    made = []
+
+    def broken():
+        raise ValueError("no model")
+
+    assert plugins.preload({"a": lambda: made.append("a") or "A", "b": broken}) == ["b"]
+    assert plugins.live("a", lambda: made.append("again")) == "A" and made == ["a"]
+    assert plugins.live("c", lambda: "C", max_bytes=1) == "C"
+    assert plugins.live("a", lambda: made.append("a") or "A2") == "A2"  # the limit let it go
+    plugins.clear()

@@ -31,16 +31,18 @@ def test_english_fixes_take_all_english_documents(spark, sf_dir, tmp_path):
     for folder, rows in ((str(tmp_path), docs), (sf_dir, shared)):
         english = {d: t for d, t, lang in rows if lang == "en"}
         want = {d: t and fixed(t.replace(" the ", " 0 l rn ").replace(" of ", " a|b vv ")) for d, t in english.items()}
-        assert {r["doc_id"]: r["fixed"] for r in QUERIES["text_english_fixes_all"](spark, folder).collect()} == want
+        assert {r["doc_id"]: r["fixed"] for r in QUERIES["text_english_fixes"](spark, folder).collect()} == want
 
 
 def test_arabic_queries_take_whole_texts(spark, tmp_path):
     texts = ["bcd " * 150 + "salam 12", "xyz " * 20 + "a", "bcd", "", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    repaired = {r["doc_id"]: r["repaired"] for r in QUERIES["text_arabic_token_fix_whole"](spark, str(tmp_path)).collect()}
+    repaired = {r["doc_id"]: r["repaired"] for r in QUERIES["text_arabic_token_fix"](spark, str(tmp_path)).collect()}
     assert repaired[0].split() == ["21", "اا"] and repaired[2] == "bcd"
-    language = {r["doc_id"]: r["language"] for r in QUERIES["text_language_detect_whole"](spark, str(tmp_path)).collect()}
-    assert language == {0: "ar", 1: "ar", 2: "en", 3: "en", 4: "en"}
+    spark.createDataFrame([], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    language = {r["id"]: r["language"] for r in QUERIES["text_language_detect"](spark, str(tmp_path)).collect()}
+    assert {i // 10: x for i, x in language.items() if i % 10 == 4} == {0: "ar", 1: "ar", 2: "en", 3: "en", 4: "en"}
+    assert {i // 10: x for i, x in language.items() if i % 10 == 1} == {0: "mrz", 1: "mrz", 2: "mrz", 3: "en", 4: "en"}
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
-    assert dict(con.execute(ORACLES["text_arabic_token_fix_whole"]).fetchall()) == repaired
+    assert dict(con.execute(ORACLES["text_arabic_token_fix"]).fetchall()) == repaired
