@@ -1,4 +1,8 @@
-"""Licence scans: canonical digests of entire texts, joined to those of known licences. DataFrame functions only."""
+"""Licence scans: canonical digests of entire texts, joined to those of known licences. DataFrame functions only.
+
+A canonical form has no copyright lines, no list marks and no punctuation, and one spelling for each word. The
+text is taken apart into words once, and a word is looked up in a set of constant size.
+"""
 
 from __future__ import annotations
 
@@ -69,7 +73,7 @@ Unless required by applicable law or agreed to in writing, software distributed
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
 }
 
-#: Spellings that count as equal (after lower-casing): spelling -> the one that stands for both. Fixed values.
+#: Spellings that count as equal (after lower-casing): spelling -> the one that stands for both; a plural s may follow one word. Fixed values.
 EQUIVALENT = {
     "acknowledgement": "acknowledgment",
     "analogue": "analog",
@@ -95,6 +99,8 @@ EQUIVALENT = {
     "labelling": "labeling",
     "labour": "labor",
     "licence": "license",
+    "licenced": "licensed",
+    "licencing": "licensing",
     "maximise": "maximize",
     "modelled": "modeled",
     "modelling": "modeling",
@@ -111,28 +117,60 @@ EQUIVALENT = {
     "recognise": "recognize",
     "signalling": "signaling",
     "sub license": "sublicense",
+    "sublicence": "sublicense",
     "utilisation": "utilization",
     "whilst": "while",
     "wilful": "willful",
 }
-#: A line that begins with a copyright mark, with optional comment characters before it, is not part of the licence.
-COPYRIGHT_LINE = r"(?m)^[ \t/*#;-]*(copyright|\(c\)|\x{a9})[ \t:,]*(\(c\)|\x{a9}|[0-9<\[]|by |holder).*$"
+#: Lines that begin with a copyright mark and name someone or a year, or that reserve all rights, are not part of the licence;
+#: characters of comments may stand before them.
+NO_PART = r"(^|\n)[ \t/*#;-]*(all rights reserved|(copyright|\(c\)|\x{a9})[ \t:,]*(\(c\)|\x{a9}|[0-9<\[]|by |[^\n]*(19|20)[0-9][0-9]))[^\n]*"
+#: The number or letter of a list's entry.
+LIST_MARK = r"(^|\n)[ \t/*#;-]*\(?([0-9]{1,2}|[a-z]|[ivx]{1,4})[.)][ \t]+"
+NO_WORD = r"[^\p{L}\p{N}]+"
+#: Digests of the canonical forms of long licences, whole and, where they have one, up to the end of their terms. Fixed values.
+KNOWN_DIGESTS: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("72083b058d325a216c948b17cd4a94aebe681e1c5b51a7106e6d5cb106b15480", "4b7bf538613ad74324b8d88607299656873ed7b49b6f3b5b38c9e913571e248c",),
+    "Artistic-1.0-Perl": ("b06eda62b7e0c69e6f8a5960610095b69349654af941a79eca834edcd5e64e49",),
+    "CC0-1.0": ("fc3b7547cd22a69f533f8dc61ce0b9bba032990bd8d72935ddd5cf7045643f54",),
+    "GFDL-1.2": ("11b443626816c538e555b7fb60eaba9f2a83a9ecb67ad4a1663e07c118b8e550",),
+    "GFDL-1.3": ("cc84a6c6a2b84e8cde0619ed37d987e1a9b39e53ddcaf34f4735e2138dfe6e4a",),
+    "GPL-1.0": ("d12bf436716562844f9a1fa4b2d7f3d40b9a3958451bc802147a9b1f72b26449", "d7aceb17a2c2dd23444118f2a4f564bc44b82289e8c3d716e2a0aa51477e2a60",),
+    "GPL-2.0": ("5fbaf82c679588b288227e6fa2348731ce4db7888a791bdf8a007da45db6d110", "53c45912d872de7563a67955bca147dbe241ad9f7d6b9c6cc1b0428b44382526",),
+    "GPL-3.0": ("3695e90f7fe4b461853cec533de5675ab2b6b1fcafcb504d6c64ded76f675d64", "a7d16b580457c566303df373fd362c5bfbfbc013734bed4e4cf732a569a5598e",),
+    "LGPL-2.0": ("4a1b1cb15d45262f049457ae26945909d0e5af93e2e3fb5de82c9f72ac6bebe2", "9445838f80c534db1f71155f4c93f1464bf680d2a091792f3f2146f5cefef806",),
+    "LGPL-2.1": ("f2755dc4b609b314faab32d30ca6d0466b60adc931cece2ea4f0b61f483bfc98", "70a277553f5f0e974016dfc6aed9adda07c554792c5f1f3d75acb63053de3f89",),
+    "LGPL-3.0": ("cb8c0f424bdd5c42a0b18285893829d988e9fb9a00d0cd604a59ebe8da7eeb45",),
+    "MPL-1.1": ("a1ea0c4b634aa7b4256d56525c941092a1facf7d3e96c4ecb68ba71bc6744f7d",),
+    "MPL-2.0": ("8dce888cb942d93cebeb8e0fea8afac43e084f54254ac4d9b99cfde68a62468b",),
+}
+
+
+def _one_word() -> dict[str, str]:
+    pairs = {k: v for k, v in EQUIVALENT.items() if " " not in k}
+    return pairs | {f"{k}s": f"{v}s" for k, v in pairs.items()}
+
+
+def _two_words() -> dict[str, str]:
+    """In a text whose words are two spaces apart and have one at both ends."""
+    pairs = {k: v for k, v in EQUIVALENT.items() if " " in k}
+    return {f" {k.replace(' ', '  ')}{s} ": f" {v.replace(' ', '  ')}{s} " for k, v in pairs.items() for s in ("", "s")}
 
 
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, words of letters and digits one space apart, one spelling for each word."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    out = F.regexp_replace(out, "  +", " ")
-    for spelling, other in EQUIVALENT.items():
-        out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {other} "))
-        if " " not in spelling:
-            out = F.replace(out, F.lit(f" {spelling}s "), F.lit(f" {other}s "))
-    return F.btrim(out)
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), NO_PART, "\n"), LIST_MARK, "\n")
+    out = F.concat(F.lit(" "), F.btrim(F.regexp_replace(out, NO_WORD, "  ")), F.lit(" "))
+    for spelling, other in _two_words().items():
+        out = F.replace(out, F.lit(spelling), F.lit(other))
+    spellings = _one_word()
+    table = F.create_map(*[F.lit(x) for kv in spellings.items() for x in kv])
+    word = lambda w: F.when(w.isin(*spellings), F.element_at(table, w)).otherwise(w)
+    return F.array_join(F.transform(F.split(F.btrim(out), "  "), word), " ")
 
 
 def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
-    """digest, license_id of each known text, with and without its first line where that is a title."""
+    """digest, license_id of each known text, with and without its first line where that is a title; the fixed digests where none are given."""
     rows = []
     for name, text in (KNOWN if known is None else known).items():
         head, _, rest = text.partition("\n")
@@ -140,7 +178,11 @@ def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> D
         if rest.strip() and len(head) < 80:
             rows.append((name, rest))
     table = spark.createDataFrame(rows, "license_id string, text string")
-    return table.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    digests = table.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id")
+    if known is None:
+        fixed = [(digest, name) for name, own in KNOWN_DIGESTS.items() for digest in own]
+        digests = digests.unionByName(spark.createDataFrame(fixed, "digest string, license_id string"))
+    return digests.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def license_scan(docs: DataFrame, known: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,36 +190,70 @@ def license_scan(docs: DataFrame, known: dict[str, str] | None = None, id_col: s
 
     The whole text is one licence or none. A null text is an empty one; a text without a letter or digit
     outside copyright lines has an empty canonical form and no licence. Known texts are a fixed list, so
-    they are joined by broadcast. Ids (null too) and repeated rows are passed through.
+    they are joined by broadcast. Ids (null too) and repeated rows are passed through; other columns are not
+    read, whatever their names.
     """
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), canonical(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("text"))
     digests = base.select("doc_id", F.char_length("text").cast("long").alias("canonical_chars"), F.sha2("text", 256).alias("digest"))
     return digests.join(F.broadcast(known_digests(docs.sparkSession, known)), "digest", "left").select("doc_id", "canonical_chars", "digest", "license_id")
 
 
+def variants(docs: DataFrame) -> DataFrame:
+    """doc_id, text: every row's text in place of a licence's where its id leaves none, else a known licence in one of six dresses."""
+    names = list(KNOWN)
+    table = docs.sparkSession.createDataFrame([(i, KNOWN[n]) for i, n in enumerate(names)], "place int, licence string")
+    rows = docs.select("doc_id", "text", (F.col("doc_id") % (len(names) + 1)).cast("int").alias("place"), (F.floor(F.col("doc_id") / (len(names) + 1)) % 6).cast("int").alias("dress"))
+    text = F.col("licence")
+    dressed = (
+        F.when(F.col("dress") == 0, text)
+        .when(F.col("dress") == 1, F.upper(text))
+        .when(F.col("dress") == 2, F.concat(F.lit("Copyright Jane Doe 2015\nAll rights reserved.\n\n"), text))
+        .when(F.col("dress") == 3, F.replace(F.replace(text, F.lit("\n1. "), F.lit("\n* ")), F.lit("\n2. "), F.lit("\n* ")))
+        .when(F.col("dress") == 4, F.replace(F.replace(text, F.lit("license"), F.lit("licence")), F.lit("\n"), F.lit("\n# ")))
+        .otherwise(F.concat(text, F.lit(" and more")))
+    )
+    return rows.join(F.broadcast(table), "place", "left").select("doc_id", F.when(F.col("licence").isNull(), F.col("text")).otherwise(dressed).alias("text"))
+
+
+_VARIANTS_SQL = """
+select d.doc_id, case when k.licence is null then d.text else case d.doc_id // {n} % 6 when 0 then licence when 1 then upper(licence)
+  when 2 then 'Copyright Jane Doe 2015' || chr(10) || 'All rights reserved.' || chr(10) || chr(10) || licence
+  when 3 then replace(replace(licence, chr(10) || '1. ', chr(10) || '* '), chr(10) || '2. ', chr(10) || '* ')
+  when 4 then replace(replace(licence, 'license', 'licence'), chr(10), chr(10) || '# ') else licence || ' and more' end end as text
+from documents d left join (values {values}) as k(place, licence) on k.place = d.doc_id % {n}"""
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def variants_sql() -> str:
+    return _VARIANTS_SQL.format(n=len(KNOWN) + 1, values=", ".join(f"({i}, {_quoted(t)})" for i, t in enumerate(KNOWN.values())))
+
+
 def oracle(table: str = "documents") -> str:
     """The same scan as DuckDB SQL."""
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def form(column: str) -> str:
-        out = f"regexp_replace(lower({column}), {quote(COPYRIGHT_LINE)}, ' ', 'g')"
-        out = f"' ' || regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
-        out = f"regexp_replace({out}, '  +', ' ', 'g')"
-        for spelling, other in EQUIVALENT.items():
-            out = f"replace({out}, {quote(f' {spelling} ')}, {quote(f' {other} ')})"
-            if " " not in spelling:
-                out = f"replace({out}, {quote(f' {spelling}s ')}, {quote(f' {other}s ')})"
-        return f"trim({out}, ' ')"
+        out = f"regexp_replace(regexp_replace(lower({column}), {_quoted(NO_PART)}, chr(10), 'g'), {_quoted(LIST_MARK)}, chr(10), 'g')"
+        out = f"' ' || trim(regexp_replace({out}, {_quoted(NO_WORD)}, '  ', 'g'), ' ') || ' '"
+        for spelling, other in _two_words().items():
+            out = f"replace({out}, {_quoted(spelling)}, {_quoted(other)})"
+        pairs = _one_word()
+        table = f"map([{', '.join(map(_quoted, pairs))}], [{', '.join(map(_quoted, pairs.values()))}])"
+        return f"array_to_string(list_transform(string_split(trim({out}, ' '), '  '), lambda w: coalesce({table}[w], w)), ' ')"
 
     values = []
     for name, text in KNOWN.items():
         head, _, rest = text.partition("\n")
-        values.append(f"({quote(name)}, {quote(text)})")
+        values.append(f"({_quoted(name)}, {_quoted(text)})")
         if rest.strip() and len(head) < 80:
-            values.append(f"({quote(name)}, {quote(rest)})")
+            values.append(f"({_quoted(name)}, {_quoted(rest)})")
+    fixed = ", ".join(f"({_quoted(digest)}, {_quoted(name)})" for name, own in KNOWN_DIGESTS.items() for digest in own)
     return f"""
 with known as (
-  select sha256({form("body")}) as digest, min(name) as license_id from (values {", ".join(values)}) as k(name, body) group by 1),
-forms as (select doc_id, {form("coalesce(text, '')")} as form from {table})
+  select digest, min(name) as license_id
+  from (select sha256({form("body")}) as digest, name from (values {", ".join(values)}) as k(name, body) union all select * from (values {fixed}) as f(digest, name)) u group by 1),
+forms as (select doc_id, {form("coalesce(text, '')")} as form from {table} t)
 select f.doc_id, cast(length(f.form) as bigint) as canonical_chars, sha256(f.form) as digest, k.license_id
 from forms f left join known k on k.digest = sha256(f.form)"""

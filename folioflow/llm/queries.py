@@ -52,6 +52,15 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op2_license_scan"] = licenses.oracle()
 
 
+@_query
+def license_scan_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on known licences in other dresses, so that matches are compared as well."""
+    return licenses.license_scan(licenses.variants(_table(spark, sf_dir, "documents")))
+
+
+ORACLES["license_scan_variants"] = licenses.oracle(f"({licenses.variants_sql()})")
+
+
 @_query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(_table(spark, sf_dir, "documents"), tokenizer_path())

@@ -114,6 +114,31 @@ def test_licences(spark, docs, empty):
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
 
 
+def test_licences_in_other_dresses(spark):
+    """List marks, the rights line, a year behind a name, wrapped lines that begin with the word copyright, spellings side by side."""
+    bsd = licenses.KNOWN["BSD-2-Clause"]
+    wrapped = bsd.replace("the above copyright notice", "the above\ncopyright notice").replace("BY THE COPYRIGHT", "BY THE\nCOPYRIGHT")
+    forms = [bsd, bsd.replace("1. ", "* ").replace("2. ", "* "), bsd.replace("1. ", "(a) ").replace("2. ", "(b) "), bsd.replace("<owner>", "<owner>\nAll rights reserved."), bsd.replace("Copyright (c) <year>, <owner>", "Copyright Jane Doe 2015"), wrapped]
+    rows = [(i, t) for i, t in enumerate(forms)] + [(100, "Licence licence."), (101, "license license"), (102, "per cent per cent licences"), (103, "percent percent LICENSES"), (104, bsd.replace("source", "sauce"))]
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["license_id"] for i in range(len(forms))] == ["BSD-2-Clause"] * len(forms)
+    assert got[100]["digest"] == got[101]["digest"] and got[102]["digest"] == got[103]["digest"]
+    assert got[104]["license_id"] is None
+
+
+def test_long_licences(spark):
+    """The fixed digests are those of the published texts, where this machine has them."""
+    import os
+
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+    rows = [(n, open(f"{folder}/{f}", encoding="utf-8").read()) for n, f in names.items() if os.path.exists(f"{folder}/{f}")]
+    if not rows:
+        pytest.skip("no licence texts here")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {n: n for n, _ in rows}
+
+
 @pytest.fixture(scope="module")
 def graded(spark):
     """Toxic texts by whole words in one language and word beginnings in another; a tenth of the labels cover nothing."""
