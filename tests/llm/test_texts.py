@@ -42,11 +42,44 @@ def test_long_and_special_texts(automaton, library, text):
 
 def test_every_token_encodes_as_the_library_does(automaton, library):
     rng = random.Random(2)
-    for i in rng.sample(sorted(automaton.labels), 3000):
+    for i in rng.sample(range(len(automaton.labels)), 3000):
         word = automaton.labels[i].decode("utf-8", "ignore")
         assert automaton.encode(word).tolist() == library.encode(word, add_special_tokens=False).ids
 
 
+def test_the_compiled_table_is_the_automaton(automaton):
+    """Every state of a token against the gadgets' own rule, for tokens of every kind; the tables are a few MB."""
+    spec = json.load(open(tokenizer_path()))
+    vocab = spec["model"]["vocab"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+    gadgets = bpe.Gadgets([i for t, i in vocab.items() if len(t) == 1], [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
+    rng = random.Random(3)
+    tokens = sorted(gadgets.state_of)
+    pairs = [(rng.choice(tokens), rng.choice(tokens)) for _ in range(20_000)]
+    pairs += [(gadgets.left[w], rng.choice(tokens)) for w in rng.sample(sorted(gadgets.left), 500)] + [(vocab[a], vocab[b]) for a, b in merges[::25]]
+    for (u, v), found in zip(pairs, automaton.allowed(automaton.row[[u for u, _ in pairs]], np.array([v for _, v in pairs])).tolist(), strict=True):
+        assert found == gadgets.allowed(gadgets.state_of[u], v)
+    assert automaton.allowed(np.zeros(len(tokens), int), np.array(tokens)).all()
+    assert automaton.table_bytes() < 24 << 20
+
+
+def test_words_side_by_side_and_alone(automaton, library):
+    """Many words of one length, few of them, and very long ones give the same ids."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(rng.choice([1, 3, 5, 8, 9, 14, 60]))) for _ in range(1500)]
+    raw = [w.encode() for w in words]
+    many = automaton.encode_many(raw)
+    assert many == [np.array(automaton.encode_word(w), "<u4").tobytes() for w in raw]
+    assert [np.frombuffer(x, "<u4").tolist() for x in many] == [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
+
+
+def test_the_narrow_split_is_the_plain_one():
+    rng = random.Random(6)
+    for _ in range(3000):
+        text = "".join(chr(rng.choice([rng.randrange(256), 32, 39, 115, 10])) for _ in range(rng.randrange(30)))
+        assert bpe._narrow().findall(text) == bpe._plain().findall(text)
+
+
 def test_round_trip_rows(docs, corpus, empty):
     got = {(r["doc_id"], r["decoded"]) for r in bpe.bpe_round_trip(docs, tokenizer_path()).collect()}
     assert got == {(d, t or "") for d, t, *_ in corpus}
