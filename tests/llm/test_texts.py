@@ -302,3 +302,28 @@ def test_few_labelled_rows_are_a_bound(graded):
     """With more labels than the bound, the fit stays under it and still learns."""
     docs, labels = graded
     assert toxicity.fit(docs, labels, 150).terms
+
+
+def test_the_threshold_makes_the_fewest_errors():
+    """Also where nothing is better taken for toxic, and with rows that stand for many documents."""
+    at = np.log(toxicity.THRESHOLD / (1 - toxicity.THRESHOLD))
+    logit, one = np.array([0.0, 1.0, 2.0, 3.0]), np.ones(4)
+    assert toxicity.threshold_shift(logit, one, np.array([0, 0, 1, 1])) == pytest.approx(at - 1.5)
+    assert (logit + toxicity.threshold_shift(logit, one, np.array([1, 0, 0, 0])) < at).all()
+    assert (logit + toxicity.threshold_shift(logit, one, np.array([1, 1, 1, 1])) > at).all()
+    assert toxicity.threshold_shift(logit, np.array([1, 9, 1, 1.0]), np.array([0, 1, 0, 1])) == pytest.approx(at - 0.5)
+    assert (np.zeros(4) + toxicity.threshold_shift(np.zeros(4), one, np.array([0, 0, 0, 1])) < at).all()
+
+
+def test_the_label_model_counts_what_two_voters_share_once():
+    """Copies of a voter do not outvote the others, however many there are; the tree knows them."""
+    rng = np.random.default_rng(3)
+    y = rng.random(6000) < 0.3
+    vote = lambda hit, chance: np.where(rng.random(6000) < np.where(y, hit, chance), 1, -1)
+    a, b, c = vote(0.85, 0.1), vote(0.8, 0.15), vote(0.85, 0.2)
+    one = toxicity.label_model(np.stack([a, b, c], axis=1), np.ones(6000), 0.3)
+    copies = [toxicity.label_model(np.stack([a, b, *[c] * k], axis=1), np.ones(6000), 0.3) for k in (2, 3)]
+    assert ((one > 0.5) == y).mean() > 0.92 and all(((x > 0.5) == y).mean() > 0.9 for x in copies)
+    assert np.abs(copies[0] - copies[1]).max() < 1e-3  # a third copy says nothing new
+    tree = toxicity.correlation_tree(np.stack([a, b, c, c], axis=1) + 1, np.ones(6000), y.astype(float))
+    assert tree[2] == 3 or tree[3] == 2
