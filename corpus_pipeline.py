@@ -1,7 +1,10 @@
 """The corpus pipeline: toxicity, line dedup, SimHash near-dedup, benchmark decontamination, BPE.
 
-Each stage works on everything its predecessor kept and takes (spark, docs, sf_dir). All but the last
-return the columns of documents (doc_id, text, lang, source, n_chars); n_chars follows the text.
+Each stage works on everything its predecessor kept and takes (spark, docs, sf_dir). All but the last return the
+columns that docs has, in their order: those of documents (doc_id, text, lang, source, n_chars), without what is
+missing there and with whatever else there is, under any name. n_chars follows the text. Null texts are empty, a null
+doc_id is an id like any other, an empty table gives an empty one; repeated rows are judged alike, and of those that
+are the same in id and text near-dedup keeps one.
 """
 
 from __future__ import annotations
@@ -13,7 +16,6 @@ from folioflow.llm import bpe, decontaminate, line_dedup, simhash, toxicity
 from folioflow.llm.queries import tokenizer_path
 from folioflow.llm.shared import stored
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: SQL cannot express the toxicity, near-dedup and decontamination stages.
 ORACLE_SQL = None
 
@@ -24,31 +26,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted label is toxic go."""
-    return toxicity.without_toxic(docs, _table(spark, sf_dir, "labels")).select(*COLUMNS)
+    return toxicity.without_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand in ten or more documents go; a document that has no other line is empty and stays."""
-    kept = line_dedup.line_dedup(docs).withColumnRenamed("kept_text", "text")
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    whole = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    kept = line_dedup.line_dedup(whole)
+    now = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return kept.select(*[now.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays (of texts under one id the one with the least
     hash); a repeated row of it stays once. Rows of one id, or without one, on different texts are documents of their own."""
     version = F.xxhash64(F.coalesce("text", F.lit("")))
-    keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", version.alias("version")).alias("key"), "text")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), version.alias("version"), "text")
+    keyed = rows.select(F.struct(F.col("id").isNull().alias("nameless"), F.col("id").alias("doc_id"), "version").alias("key"), "text")
     components = simhash.simhash_components(keyed, id_col="key")  # a component's id is its least key
     first = components.where("doc_id <=> component_id").select(F.col("doc_id.doc_id").alias("first"), F.col("doc_id.version").alias("first_version"))
     first = stored(first.distinct(), "representatives")
-    kept = docs.withColumn("version", version)
-    kept = kept.join(first, kept["doc_id"].eqNullSafe(first["first"]) & (kept["version"] == first["first_version"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "version"]).select(*COLUMNS)
+    kept = rows.drop("text").join(first, F.col("id").eqNullSafe(F.col("first")) & (F.col("version") == F.col("first_version")), "left_semi")
+    return kept.dropDuplicates(["id", "version"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontaminate.without_leaks(docs, _table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return decontaminate.without_leaks(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ def test_stages(spark, sf_dir):
     counts = [docs.count()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf_dir).cache()
-        assert out.columns == list(corpus_pipeline.COLUMNS)
+        assert out.columns == docs.columns
         before, after = {r["doc_id"]: r["text"] for r in docs.collect()}, {r["doc_id"]: r["text"] for r in out.collect()}
         assert set(after) <= set(before)
         if name == "line_dedup":
@@ -47,12 +47,48 @@ def test_near_copies_under_one_id(spark):
     rows = [(None, a), (None, b), (None, c), (7, d), (7, e), (7, e), (None, e), (5, a), (None, f), (None, f), (9, None), (None, "")]
     docs = spark.createDataFrame([(i, t, "en", "src", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.drop_near_copies(spark, docs, "")
-    assert out.columns == list(corpus_pipeline.COLUMNS)
+    assert out.columns == docs.columns
     want = [(5, a), (None, b), (None, c), (7, d), (7, e), (None, f), (9, None)]
     assert len({brute_fingerprint(t) for t in (a, b, c, d, e, f)}) == 6
     assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(repr, want))
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows and ids, columns of any name, and no rows at all."""
+    rng = random.Random(9)
+    toxic = [prose(rng, 30) + " vile rotten foul " + prose(rng, 5) for _ in range(60)]
+    clean = [prose(rng, 60) for _ in range(120)]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "version", "row", "id", "first", "leak", "Keep", "key", "__doc"]
+    cells = lambda i, t: tuple([i, t, None, None, None] + [f"{c}{i}" for c in names[5:]])
+    item = prose(rng, 40)
+    line = "every tenth document has this line"
+    rows = [cells(i, t + ("\n" + line if i % 3 == 0 else "")) for i, t in enumerate(toxic + clean)]
+    rows += [cells(500, clean[0] + " " + item), cells(501, clean[1] + " more"), cells(None, prose(rng, 50)), cells(None, prose(rng, 50)), cells(None, None), cells(7000, ""), cells(7001, line)]
+    rows += [rows[100], rows[100], cells(100, prose(rng, 50))]
+    schema = ", ".join(f"`{c}` {'long' if c in ('doc_id', 'n_chars') else 'string'}" for c in names)
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, int(i < 60)) for i in range(180)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf).cache()
+        assert out.columns == names
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        got = out.collect()
+        assert all(r["__doc"] == f"__doc{r['doc_id']}" and r["Keep"] == f"Keep{r['doc_id']}" and r["version"] == f"version{r['doc_id']}" for r in got)
+        if name == "toxicity":
+            assert len(got) < len(rows) - 40 and {500, 501, 7000, None} <= {r["doc_id"] for r in got}
+        elif name == "line_dedup":
+            assert not any(line in r["text"] for r in got) and all(r["n_chars"] == len(r["text"]) for r in got)
+            assert sorted(r["text"] for r in got if r["doc_id"] in (7000, 7001)) == ["", ""]
+        elif name == "simhash":
+            assert sum(r["doc_id"] == 100 for r in got) == 2 and sum(r["doc_id"] is None for r in got) >= 2
+        else:
+            assert 500 not in {r["doc_id"] for r in got} and len(got) >= 100
+        docs = out
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, sf_dir, name):
     out = queries.QUERIES[name](spark, sf_dir)
