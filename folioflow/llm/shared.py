@@ -36,12 +36,19 @@ def scratch_root(spark: SparkSession) -> str:
 def _application_folder(root: str, application: str) -> str:
     """With its scheme, so that every reader and writer resolves the same place."""
     spark = SparkSession.active()
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/folioflow-{application}")
+    own = qualified(spark, f"{root}/folioflow-{application}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    path = files.makeQualified(path)
     files.mkdirs(path)
     files.deleteOnExit(path)
-    return path.toString().replace("file:/", "file:///", 1) if path.toString().startswith("file:/") else path.toString()
+    return own
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark's readers resolve it to, so that others write to the same place."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    name = own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString()
+    return f"file:///{name.removeprefix('file:').lstrip('/')}" if name.startswith("file:") else name
 
 
 @functools.cache

@@ -13,6 +13,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import scratch_path, stored
+from .shared import qualified, scratch_path, stored
 
 DICTIONARY_FRAME = 0x184D2A5D  # the skippable frame that holds a dictionary
 ZSTD_MAGIC = 0xFD2FB528
@@ -44,13 +45,13 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, refe
         ("WARC-Type", kind),
         ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"),
         ("WARC-Date", DATE),
-        ("WARC-Page-Id", "" if page_id is None else str(page_id)),
+        *([] if page_id is None else [("WARC-Page-Id", quote(str(page_id)))]),
         ("WARC-Target-URI", re.sub(r"[\r\n]+", " ", url or "")),
         ("WARC-Payload-Digest", f"sha1:{payload_digest(payload)}"),
         ("WARC-Block-Digest", f"sha1:{payload_digest(block)}"),
     ]
     if kind == "revisit":
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>"), ("WARC-Refers-To-Page-Id", str(refers_to))]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>"), ("WARC-Refers-To-Page-Id", quote(str(refers_to)))]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -147,6 +148,7 @@ def write_archives(pages: DataFrame, path: str, min_payload_bytes: int = 0, id_c
     A task writes its archives into a folder of its own attempt, which is then renamed to the partition's
     folder: a task that is run again replaces all archives of its partition, whatever their number was.
     """
+    path = qualified(pages.sparkSession, path)
     rows = revisits(pages, min_payload_bytes, id_col, url_col, html_col)
     samples = [r[0] for r in rows.limit(DICTIONARY_SAMPLES).select(F.substring("html", 1, 8192)).collect()]
     dictionary = train_dictionary([record("response", i, "", s.encode(), None) for i, s in enumerate(samples)])
@@ -199,19 +201,22 @@ def train_dictionary(samples: list[bytes]) -> bytes:
         return b""
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Per record: page_id, url, payload (binary; null for a revisit), payload_bytes, payload_digest, record_type, refers_to."""
+def read_archives(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    """Per record: page_id, url, payload (binary; null for a revisit), payload_bytes, payload_digest, record_type, refers_to.
+
+    Ids are of id_type, as they were written; a record without one has a null id.
+    """
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").option("recursiveFileLookup", "true").load(f"{path}/part-*").select("content")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda x: int(x) if x else None
+        name = lambda x: None if x is None else unquote(x)
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
                 for r in read_archive(content.as_py()):
                     f = r["fields"]
                     kind = f["warc-type"]
-                    rows.append((number(f["warc-page-id"]), f.get("warc-target-uri"), r["payload"] if kind == "response" else None, r["payload_bytes"], f["warc-payload-digest"].removeprefix("sha1:"), kind, number(f.get("warc-refers-to-page-id"))))
+                    rows.append((name(f.get("warc-page-id")), f.get("warc-target-uri"), r["payload"] if kind == "response" else None, r["payload_bytes"], f["warc-payload-digest"].removeprefix("sha1:"), kind, name(f.get("warc-refers-to-page-id"))))
                     size += len(r["payload"])
                     if len(rows) >= 1000 or size >= 8 << 20:
                         yield _batch(rows)
@@ -219,18 +224,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return archives.mapInArrow(read, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    rows = archives.mapInArrow(read, "page_id string, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return rows.withColumn("page_id", F.col("page_id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    types = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string()]
     names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
 def warc_round_trip(pages: DataFrame, min_payload_bytes: int = 0, path: str | None = None) -> DataFrame:
-    """Write all pages as archives and read them back: read_archives()'s rows. An empty table gives no rows."""
+    """Write all pages as archives and read them back: read_archives()'s rows. An empty table gives no rows; ids of any type come back as they were."""
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
     write_archives(pages, path, min_payload_bytes)
-    return read_archives(spark, path)
+    return read_archives(spark, path, pages.schema["page_id"].dataType.simpleString())
