@@ -168,3 +168,8 @@ def fold(regions: DataFrame, name: str = "region", text: str = "text") -> DataFr
     """regions with the parsed zone beside those named mrz, parsed without spaces."""
     read = parsed(regions, F.replace(F.col(text), F.lit(" "), F.lit("")))
     return read.withColumn("mrz", F.when(F.col(name) == "mrz", F.col("mrz")))
+
+
+def input_valid(path_exists: Column, last_dimension: Column) -> Column:
+    """A path must be that of a file, an array must end in three channels; null where neither is given."""
+    return F.coalesce(path_exists, last_dimension == 3)

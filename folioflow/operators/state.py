@@ -12,7 +12,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -88,6 +88,29 @@ def memoised(requests: DataFrame, computed: DataFrame, *keys: str) -> DataFrame:
     return requests.join(computed.dropDuplicates(list(keys)), list(keys), "left")
 
 
+def stored_results(requests: DataFrame, path: str, compute: Callable[[DataFrame], DataFrame], now: float, ttl: float, *keys: str) -> DataFrame:
+    """requests with the results of their keys, from a table at path that outlives the session and from compute where it has none.
+
+    A result is valid while now < expiry; compute gets the different keys without one and gives them with column value.
+    What it gives is written with its expiry before it is used; a null value is not kept. A null key is computed every time.
+    """
+    spark = requests.sparkSession
+    wanted = requests.select(*keys).distinct()
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    valid = spark.read.parquet(path).where(F.col("expiry") > now) if known else None
+    misses = wanted if valid is None else wanted.join(valid, list(keys), "left_anti")
+    fresh = compute(misses).where("value is not null").withColumn("expiry", F.lit(float(now + (ttl or 3600.0))))
+    fresh.write.mode("append").parquet(path)
+    held = spark.read.schema(fresh.schema).parquet(path).where(F.col("expiry") > now)
+    return requests.join(held.groupBy(*keys).agg(F.max_by("value", "expiry").alias("value")), list(keys), "left")
+
+
+def without_expired(path: str, into: str, now: float, spark: SparkSession) -> None:
+    """The valid results of a table as a new one."""
+    spark.read.parquet(path).where(F.col("expiry") > now).write.mode("overwrite").parquet(into)
+
+
 def cache_key(args: Column, options: dict[str, Column]) -> Column:
     """md5 over the arguments and the sorted options, joined by a bar."""
     return F.md5(F.concat_ws("|", args, *[F.concat(F.lit(f"{k}="), v) for k, v in sorted(options.items())]))

@@ -59,3 +59,9 @@ def extracted(text: Column) -> Column:
     """struct<extracted_text, status, error>: an empty or missing text is the caller's error."""
     there = F.coalesce(text, F.lit("")) != ""
     return F.struct(F.when(there, text).alias("extracted_text"), F.when(there, 200).otherwise(400).alias("status"), F.when(~there, "Failed to extract text").alias("error"))
+
+
+def timing_headers(started: Column, ended: Column) -> Column:
+    """The headers of an answer: milliseconds between two times, and an id of its own for each request."""
+    spent = (F.unix_micros(ended) - F.unix_micros(started)) / 1000
+    return F.create_map(F.lit("X-Process-Time-Ms"), spent.cast("string"), F.lit("X-Request-ID"), F.uuid())

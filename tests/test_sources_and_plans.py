@@ -183,3 +183,50 @@ def test_forms_of_input_and_scans(spark):
     events = spark.createDataFrame([("s", i, x) for i, x in enumerate(steps)] + [("t", 0, "scanning")], "scan_id string, ts int, status string")
     got = {(r["scan_id"], r["ts"]): r["valid"] for r in sources.scanner_transitions(events).collect()}
     assert got == {**{("s", i): i < 7 for i in range(8)}, ("t", 0): False}
+
+
+def test_settings(tmp_path):
+    """Defaults, then the file, then the environment; any case; wrong values are errors."""
+    import pytest
+
+    from folioflow import settings
+
+    file = tmp_path / ".env"
+    file.write_text("# a comment\nIDP_RATE_LIMIT=7\nexport IDP_DEBUG='off'\nOTHER=1\nIDP_CACHE_TTL=60\n")
+    got = settings.load({"idp_rate_limit": "9", "IDP_LOG_LEVEL": "warning", "RATE_LIMIT": "1"}, str(file))
+    assert (got.RATE_LIMIT, got.DEBUG, got.CACHE_TTL, got.LOG_LEVEL, got.API_KEY, got.OCR_CONFIDENCE_THRESHOLD) == (9, False, 60, "WARNING", None, 0.5)
+    assert settings.load({}, str(tmp_path / "none")) == settings.Settings()
+    for wrong in ({"IDP_LOG_LEVEL": "loud"}, {"IDP_DEBUG": "perhaps"}, {"IDP_RATE_LIMIT": "many"}):
+        with pytest.raises(ValueError):
+            settings.load(wrong, str(tmp_path / "none"))
+
+
+def test_results_that_outlive_a_session(spark, tmp_path):
+    """Valid results come from the table, expired and unknown ones are computed; nulls are not kept."""
+    path, asked = str(tmp_path / "cache"), []
+
+    def compute(misses):
+        asked.append(sorted(r["k"] for r in misses.collect()))
+        return misses.select("k", F.when(F.col("k") != "c", F.concat("k", F.lit(f"{len(asked)}"))).alias("value"))
+
+    def ask(keys, now):
+        rows = spark.createDataFrame([(k,) for k in keys], "k string")
+        return sorted((r["k"], r["value"] or "") for r in state.stored_results(rows, path, compute, now, 10, "k").collect())
+
+    assert ask(["a", "b", "a", "c"], 100.0) == [("a", "a1"), ("a", "a1"), ("b", "b1"), ("c", "")]
+    assert ask(["a", "c", "d"], 105.0) == [("a", "a1"), ("c", ""), ("d", "d2")]
+    assert ask(["a", "d"], 110.0) == [("a", "a3"), ("d", "d2")]
+    assert asked == [["a", "b", "c"], ["c", "d"], ["a"]]
+    state.without_expired(path, str(tmp_path / "kept"), 112.0, spark)
+    assert sorted(r["value"] for r in spark.read.parquet(str(tmp_path / "kept")).collect()) == ["a3", "d2"]
+
+
+def test_small_predicates_and_headers(spark):
+    from folioflow.functions import mrz
+
+    rows = spark.createDataFrame([(True, None), (False, None), (None, 3), (None, 4), (None, None)], "p boolean, d int")
+    assert [r[0] for r in rows.select(mrz.input_valid(F.col("p"), F.col("d"))).collect()] == [True, False, True, False, None]
+    times = spark.range(2).select(F.timestamp_millis(F.lit(1000)).alias("a"), F.timestamp_millis(F.lit(1250)).alias("b"))
+    got = [r[0] for r in times.select(envelope.timing_headers(F.col("a"), F.col("b"))).collect()]
+    assert {r["X-Process-Time-Ms"] for r in got} == {"250.0"} and len({r["X-Request-ID"] for r in got}) == 2
+    assert [r[0] for r in spark.createDataFrame([("x",), ("",), (None,)], "t string").select(envelope.extracted(F.col("t"))["status"]).collect()] == [200, 400, 400]
