@@ -21,14 +21,18 @@ from . import envelope, routing
 Plugin = Callable[[DataFrame], DataFrame]
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, computed now and once: a table in the shared folder that spark.checkpoint.dir names, kept on the executors where that is unset."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """df, computed now and once: a table in a shared folder (that which spark.checkpoint.dir names), deleted when the driver
+    ends; kept on the executors where there is none."""
+    spark = df.sparkSession
+    root = folder or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         return df.persist()
     path = f"{root.rstrip('/')}/records-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _seconds(rows: DataFrame) -> Column:

@@ -230,3 +230,18 @@ def test_small_predicates_and_headers(spark):
     got = [r[0] for r in times.select(envelope.timing_headers(F.col("a"), F.col("b"))).collect()]
     assert {r["X-Process-Time-Ms"] for r in got} == {"250.0"} and len({r["X-Request-ID"] for r in got}) == 2
     assert [r[0] for r in spark.createDataFrame([("x",), ("",), (None,)], "t string").select(envelope.extracted(F.col("t"))["status"]).collect()] == [200, 400, 400]
+
+
+def test_models_run_once(spark, tmp_path):
+    """What a detector finds is a table of its own where a shared folder is named, and is not asked for again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def detector(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(i,) for i in range(20)], "doc_id long").mapInArrow(detector, "doc_id long")
+    once = process.written(rows, str(tmp_path))
+    assert once.join(once.where("doc_id > 3"), "doc_id").union(once).count() == 36
+    assert seen.value == 20 and len(list(tmp_path.glob("records-*"))) == 1
