@@ -8,7 +8,6 @@ at once and the search goes on behind it.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count

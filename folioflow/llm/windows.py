@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLANK_BYTES, dropped, groups_by_size, id_and_text, shuffle_partitions, stored, text_bytes
+from .shared import BLANK_BYTES, dropped, groups_by_size, shuffle_partitions, stored, text_bytes
 
 #: Bytes that are cut into windows at a time, and bytes of segments in one shard's index.
 CHUNK_BYTES, SHARD_BYTES = 1 << 20, 2 << 20
