@@ -7,17 +7,20 @@
 3. Label model: a generative model of the votes given the unknown class, with a factor for each pair of voters
    along the tree of the strongest correlations. Expectation maximisation over labelled and unlabelled documents alike
    estimates how each voter votes for each class and what it repeats of another one; labels give the prior alone.
+   Every document that is not held out is in it: texts are counted by what decides their votes and features.
 4. A linear classifier is trained on the label model's posteriors and scores every document; labelled rows say which of its
    scores the threshold is.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,28 +29,28 @@ from pyspark.sql import functions as F
 
 from .shared import dropped, id_and_text, stored
 
-#: Labelled rows that lexicons, label model and classifier are fitted on at most (chosen by a hash of the id).
-MAX_LABELLED = 20_000
-#: Documents without a label that the label model and the classifier see besides, on average.
-UNLABELLED = 20_000
 MAX_TERMS, PREFIXES, LONGEST = 600, (4, 5, 6), 12
 #: Lexicon groups of strong terms (nearly all their documents are toxic), and with the weaker ones behind them.
 STRONG, GROUPS = 10, 15
 STRONG_SHARE, WEAK_SHARE = 0.93, 0.75
+MANY_WORDS = 400
 WORD = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.7
+#: Words that a task remembers what it found out about, and terms that it counts before it passes them on.
+REMEMBERED, COUNTED = 1 << 17, 300_000
 
 
-def terms_of(text: str) -> set[str]:
-    """Words of at most LONGEST letters, and the beginnings of longer words, marked by a trailing star."""
-    out = set()
-    for word in set(WORD.findall(text.lower())):
-        if len(word) <= LONGEST:
-            out.add(word)
-        for n in PREFIXES:
-            if len(word) > n:
-                out.add(word[:n] + "*")
-    return out
+class _Terms(dict):
+    """The terms of each word: itself, if it has at most LONGEST letters, and its beginnings, marked by a trailing star."""
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = (*((word,) if len(word) <= LONGEST else ()), *(word[:n] + "*" for n in PREFIXES if len(word) > n))
+        return found
+
+    def of(self, text: str) -> set[str]:
+        return set(chain.from_iterable(map(self.__getitem__, set(WORD.findall(text.lower())))))
 
 
 _MASKED, _CAPITALS = re.compile(r"[^\W\d_][*@#$]+[^\W\d_]"), re.compile(r"[A-Z]{5}")
@@ -57,8 +60,37 @@ PATTERNS = (
     lambda text: _CAPITALS.search(text) is not None,  # words in capitals
 )
 
-#: What decides votes and features of a text: groups with a hit, different words that hit a strong term, words, patterns seen.
-Seen = tuple[frozenset[int], int, int, tuple[bool, ...]]
+#: What decides votes and features of a text: groups with a hit, different words that hit a strong term, tenths of the
+#: logarithm of their share of the words, whether they are dense, whether they are one at most in a long text, patterns seen.
+Seen = tuple[frozenset[int], int, int, bool, bool, tuple[bool, ...]]
+
+
+class Finder(dict):
+    """What texts show to some lexicons. It remembers of each word its groups in each of them, nothing if it has none."""
+
+    def __init__(self, *lexicons: dict[str, int]) -> None:
+        self.lexicons = lexicons
+
+    def __missing__(self, word: str) -> tuple[tuple[int, ...], ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        keys = (word, *(word[:n] + "*" for n in PREFIXES if len(word) > n))
+        found = tuple(tuple(terms[k] for k in keys if k in terms) for terms in self.lexicons)
+        found = self[word] = found if any(found) else ()
+        return found
+
+    def seen(self, text: str) -> list[Seen]:
+        """Per lexicon."""
+        words = WORD.findall(text.lower())
+        hits = [h for h in map(self.__getitem__, set(words)) if h]
+        patterns = tuple(bool(p(text)) for p in PATTERNS)
+        out = []
+        for i in range(len(self.lexicons)):
+            own = [h[i] for h in hits if h[i]]
+            hitting = sum(min(g) < STRONG for g in own)
+            density = round(10 * math.log1p(100 * hitting / max(1, len(words))))
+            out.append((frozenset(chain.from_iterable(own)), hitting, density, hitting > 0 and 200 * hitting >= len(words), hitting <= 1 and len(words) > MANY_WORDS, patterns))
+        return out
 
 
 @dataclass(frozen=True)
@@ -70,47 +102,51 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def seen(self, text: str) -> Seen:
-        words = WORD.findall(text.lower())
-        groups, hitting, terms = set(), 0, self.terms
-        for word in set(words):
-            own = [g for g in (terms.get(word), *(terms.get(word[:n] + "*") for n in PREFIXES if len(word) > n)) if g is not None]
-            if own:
-                hitting += min(own) < STRONG
-                groups.update(own)
-        return frozenset(groups), hitting, len(words), tuple(bool(p(text)) for p in PATTERNS)
+    def finder(self) -> Finder:
+        return Finder(self.terms)
 
     def score(self, text: str) -> float:
-        return float(self.scores(np.array([features(self.seen(text), self.ways)]))[0])
+        return float(self.scores_of([text])[0])
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
 
-    def scores_of(self, texts: list[str | None]) -> np.ndarray:
-        return self.scores(np.array([features(self.seen(t or ""), self.ways) for t in texts], dtype=float).reshape(len(texts), -1)) if texts else np.zeros(0)
+    def scores_of(self, texts: list[str | None], finder: Finder | None = None) -> np.ndarray:
+        """A finder that is passed on from call to call keeps what it knows of words."""
+        finder = self.finder() if finder is None else finder
+        return self.scores(np.array([features(finder.seen(t or "")[0], self.ways) for t in texts], dtype=float).reshape(len(texts), -1)) if texts else np.zeros(0)
 
 
 def votes(seen: Seen, ways: tuple[int, ...]) -> list[int]:
     """1: toxic, -1: clean, 0: abstain. Lexicon groups, then patterns."""
-    groups, hitting, n_words, patterns = seen
+    groups, hitting, _, dense, chance, patterns = seen
     out = [1 if g in groups else 0 for g in range(GROUPS)]
     out.extend(way if found else 0 for way, found in zip(ways, patterns, strict=True))
     out.append(-1 if not hitting else 0)  # no hit
     out.append(1 if hitting >= 2 else 0)  # several hits
     out.append(1 if hitting >= 4 else 0)
-    out.append(1 if hitting and 200 * hitting >= n_words else 0)  # dense hits
-    out.append(-1 if hitting <= 1 and n_words > 400 else 0)  # a long text with a chance hit at most
+    out.append(1 if dense else 0)  # dense hits
+    out.append(-1 if chance else 0)  # a long text with a chance hit at most
     return out
 
 
 def features(seen: Seen, ways: tuple[int, ...]) -> list[float]:
-    _, hitting, n_words, _ = seen
-    return [*map(float, votes(seen, ways)), float(np.log1p(hitting)), float(np.log1p(100 * hitting / max(1, n_words)))]
+    return [*map(float, votes(seen, ways)), math.log1p(seen[1]), seen[2] / 10]
 
 
 N_FEATURES = GROUPS + len(PATTERNS) + 7
 
 
+def _key(seen: Seen) -> str:
+    groups, hitting, density, dense, chance, patterns = seen
+    return ",".join(map(str, (hitting, density, int(dense), int(chance), *map(int, patterns), *sorted(groups))))
+
+
+def _of_key(key: list[int]) -> Seen:
+    hitting, density, dense, chance, *rest = key
+    return frozenset(rest[len(PATTERNS) :]), hitting, density, bool(dense), bool(chance), tuple(map(bool, rest[: len(PATTERNS)]))
+
+
 def _joint(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.bincount(a * 3 + b, weights=weight, minlength=9).reshape(3, 3)
 
@@ -192,35 +228,36 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """Fit on labelled rows that are not held out, and on some rows without a label; without a word that tells toxic labels from others the model scores 0 everywhere."""
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int | None = None) -> Model:
+    """Fit on all rows that are not held out, labelled or not; without a word that tells toxic labels from others the model scores 0 everywhere.
+
+    Nothing is sampled, unless max_labelled bounds the labels that are used (by a hash of the id). Labels are joined by
+    a shuffle, so that they may be as many as the documents; only the texts that may have one move.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy(F.col("doc_id").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
-    n_known = known.count()
-    if n_known > max_labelled:  # by a hash of the id, with room for its chance: no sort, and nothing passes through one task
+    known = stored(known.groupBy(F.col("doc_id").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic")), "labels")
+    of_known = known
+    if max_labelled is not None and (n_known := known.count()) > max_labelled:  # with room for its chance: no sort, and nothing passes through one task
         least = max(1, max_labelled - 4 * int(max_labelled**0.5))
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit((least << 40) // n_known))
-    base = id_and_text(docs)
-    joined = base.join(F.broadcast(known), "doc_id", "left").withColumn("chance", F.rand(11))
-    share = UNLABELLED / max(1, base.count())
-    wanted = F.col("toxic").isNotNull() | (~held_out(F.col("doc_id")) & (F.col("chance") < share))
-    sample = stored(joined.where(wanted).select("text", "toxic"), "labelled")
-    rows = sample.where("toxic is not null")
+        of_known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit((least << 40) // n_known))
+    learnt = id_and_text(docs).where(~held_out(F.col("doc_id")))
+    rows = learnt.join(of_known.hint("shuffle_hash"), "doc_id").select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        terms, found = _Terms(), (Counter(), Counter())
 
         def flush() -> pa.RecordBatch:
-            terms, numbers = list(found), np.array(list(found.values()), dtype=np.int64).reshape(-1, 2)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(numbers[:, 0]), pa.array(numbers[:, 1])], names=["term", "clean", "toxic"])
+            names = list(found[0].keys() | found[1].keys())
+            numbers = [pa.array([f[t] for t in names], pa.int64()) for f in found]
+            for f in found:
+                f.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *numbers], names=["term", "clean", "toxic"])
 
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found[""][toxic] += 1
-                for term in terms_of(text):
-                    found[term][toxic] += 1
-                if len(found) > 300_000:
+                found[toxic][""] += 1
+                found[toxic].update(terms.of(text))
+                if len(found[0]) + len(found[1]) > COUNTED:
                     yield flush()
         yield flush()
 
@@ -229,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     totals = next(((r.clean, r.toxic) for r in counts if not r.term), (0, 0))
     nothing = Model({}, (0,) * len(PATTERNS), np.zeros(N_FEATURES), -30.0)
     if not totals[1]:
-        dropped(sample)
+        dropped(known)
         return nothing
     rate = totals[1] / max(1, sum(totals))
     least = max(3, round(0.004 * totals[1]))
@@ -246,35 +283,37 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
     terms = lexicon()
     if not terms:  # too few labels to learn a word from
-        dropped(sample)
+        dropped(known)
         return nothing
     # a labelled row is shown the lexicon that the other rows give, so that it does not find its own words
-    drafts = {y: Model(own, (0,) * len(PATTERNS), np.zeros(0), 0.0) for y, own in ((None, terms), (False, lexicon(less_clean=1)), (True, lexicon(less_toxic=1)))}
+    drafts = (terms, lexicon(less_clean=1), lexicon(less_toxic=1))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(*drafts)
         for batch in batches:
-            found = Counter()
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                groups, hitting, n_words, patterns = drafts[toxic].seen(text)
-                found[-1 if toxic is None else int(toxic), hitting, n_words, sum(1 << i for i, x in enumerate(patterns) if x), *sorted(groups)] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([",".join(map(str, k)) for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["key", "n"])
+            keys = [[_key(s) for s in finder.seen(text)] for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([k[i] for k in keys], pa.string()) for i in range(3))], names=["doc_id", "none", "clean", "toxic_"])
 
     # what decides votes and features, counted: few different rows, however many texts there are
-    kinds = sample.mapInArrow(extract, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").collect()
-    dropped(sample)
+    keyed = learnt.mapInArrow(extract, f"doc_id {learnt.schema['doc_id'].dataType.simpleString()}, none string, clean string, toxic_ string").join(of_known.hint("shuffle_hash"), "doc_id", "left")
+    key = F.when(F.col("toxic"), F.concat(F.lit("1,"), "toxic_")).when(~F.col("toxic"), F.concat(F.lit("0,"), "clean")).otherwise(F.concat(F.lit("-1,"), "none"))
+    kinds = keyed.groupBy(key.alias("key")).agg(F.count("*").alias("n")).toPandas().sort_values("key")
+    dropped(known)
     labels_of, seen = [], []
-    for r in kinds:
-        toxic, hitting, n_words, patterns, *groups = map(int, r.key.split(","))
+    for name in kinds["key"]:
+        toxic, *rest = map(int, name.split(","))
         labels_of.append(toxic)
-        seen.append((frozenset(groups), hitting, n_words, tuple(bool(patterns >> i & 1) for i in range(len(PATTERNS)))))
-    weight, label = np.array([float(r.n) for r in kinds]), np.array(labels_of)
+        seen.append(_of_key(rest))
+    weight, label = kinds["n"].to_numpy(float), np.array(labels_of)
     ways = []
     for i in range(len(PATTERNS)):
-        has = np.array([s[3][i] for s in seen])
+        has = np.array([s[-1][i] for s in seen])
         good, bad = (weight[has & (label == y)].sum() for y in (0, 1))
         precision = (bad + rate) / (good + bad + 1)
         ways.append(1 if bad >= least and precision > max(0.5, 2 * rate) else -1 if good >= least and precision < rate / 2 else 0)
-    posterior = label_model(np.array([votes(s, tuple(ways)) for s in seen]), weight, min(0.9, max(0.02, rate)))
+    ballots, ballot = np.unique(np.array([votes(s, tuple(ways)) for s in seen]), axis=0, return_inverse=True)
+    ballot = ballot.reshape(-1)
+    posterior = label_model(ballots, np.bincount(ballot, weights=weight), min(0.9, max(0.02, rate)))[ballot]
     x = np.array([features(s, tuple(ways)) for s in seen])
     w, bias = linear_classifier(x, posterior, weight)
     return Model(terms, tuple(ways), w, bias + threshold_shift(x @ w + bias, weight, label))
@@ -294,7 +333,7 @@ def threshold_shift(logit: np.ndarray, weight: np.ndarray, label: np.ndarray) ->
     return float(np.log(THRESHOLD / (1 - THRESHOLD)) - (low + high) / 2)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, max_labelled: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.7).
 
     Only the text is scored; null is empty and scores like any text without a hit. Labels of ids that docs
@@ -304,15 +343,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     model = fit(base, labels, max_labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = model.finder()
         for batch in batches:
-            score = model.scores_of(batch.column(1).to_pylist())
+            score = model.scores_of(batch.column(1).to_pylist(), finder)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     scored = base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, text_col: str = "text") -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int | None = None, text_col: str = "text") -> DataFrame:
     """docs without the rows that are predicted toxic, all columns kept: rows are scored where they are, nothing is shuffled.
 
     A null text is empty and stays; repeated rows are judged alike; no documents, no rows. text_col is found in any case.
@@ -321,8 +361,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     at = [c.lower() for c in docs.columns].index(text_col.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = model.finder()
         for batch in batches:
             if batch.num_rows:
-                yield batch.filter(pa.array(model.scores_of(batch.column(at).to_pylist()) < THRESHOLD))
+                yield batch.filter(pa.array(model.scores_of(batch.column(at).to_pylist(), finder) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

@@ -304,6 +304,16 @@ def test_few_labelled_rows_are_a_bound(graded):
     assert toxicity.fit(docs, labels, 150).terms
 
 
+def test_toxicity_is_fitted_on_every_row(spark, monkeypatch):
+    """Of more labelled and unlabelled rows than a sample would have, all that are not held out are in the label model."""
+    n, weights, label_model = 80_000, [], toxicity.label_model
+    monkeypatch.setattr(toxicity, "label_model", lambda votes, weight, *more: weights.append(weight.sum()) or label_model(votes, weight, *more))
+    docs = spark.range(n).selectExpr("id doc_id", "if(id % 9 = 0, concat('vile word', id), concat('fine word', id)) text")
+    labels = spark.range(n).where("id % 2 = 0").selectExpr("id doc_id", "cast(id % 9 = 0 as int) toxic")
+    assert toxicity.fit(docs, labels).terms
+    assert weights == [docs.where(~toxicity.held_out(docs["doc_id"])).count()]
+
+
 def test_the_threshold_makes_the_fewest_errors():
     """Also where nothing is better taken for toxic, and with rows that stand for many documents."""
     at = np.log(toxicity.THRESHOLD / (1 - toxicity.THRESHOLD))
