@@ -3,8 +3,10 @@
 1. Document frequencies over all documents weight words (TF-IDF). A document that holds most of an item does not count
    for that item's words, so an item that leaked into many documents does not turn its own words into frequent ones.
 2. A distributed randomised SVD of TF-IDF passages gives a latent basis. It is fitted on the benchmark's
-   passages and a bounded sample of all passages of the corpus; every document is searched.
-3. All passages of all documents are projected and compared with the benchmark's by cosine.
+   passages and all passages of all documents: a pass over them counts which weighted words of items stand together,
+   and the SVD's products are taken with those counts.
+3. All passages of all documents are compared with the benchmark's by cosine; those whose words' vectors cannot add
+   up to the cosine are not projected.
 4. Candidates are checked in the text: the longest common subsequence with the item's passage (an item of up
    to 32 words is one), in a window of its length, and the presence of the words that carry it (the item's
    answer, where a column has one). Half of a long item is a leak as well, a phrase is not.
@@ -33,10 +35,12 @@ from .windows import byte_values, mixed, powers
 BLOCK_WORDS = 16  # a passage is two neighbouring blocks
 BUCKETS = 1 << 16  # words that no item has share document frequencies
 RANK, OVERSAMPLE = 384, 16
-#: Corpus passages that the basis is fitted on besides the benchmark's, bytes of items that share a basis, cosines held at a time.
-SAMPLE_PASSAGES, GROUP_BYTES, BLOCK_COSINES = 4000, 1 << 20, 1 << 22
-#: Entries of a table of every word's product with every passage, up to which products are summed from it instead of multiplied out.
-PRODUCT_ENTRIES = 1 << 23
+#: The weight of the corpus's passages in the basis next to the benchmark's, which they must not drown.
+CORPUS_SHARE = 0.25
+#: Bytes of items that share a basis, cosines held at a time.
+GROUP_BYTES, BLOCK_COSINES = 1 << 20, 1 << 22
+#: Passages whose pairs of words are made at a time, and different pairs that a task counts before it passes them on.
+PAIRED_PASSAGES, PAIRS = 1024, 1 << 20
 #: A document with so many of an item's different runs of three words holds it, as far as document frequencies go.
 HELD_SHARE = 0.3
 MIN_COSINE, MIN_LCS, MIN_ANSWER, ANSWER_WORDS = 0.35, 0.6, 0.6, 8
@@ -139,25 +143,41 @@ def blocks(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return block, first[keep], (first + more)[keep], owner[keep]
 
 
-def projected(ids: np.ndarray, lengths: np.ndarray, weights: np.ndarray, *tables: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Of each passage: the sum of its words' rows in each table (with vectors: its latent vector), its full TF-IDF norm, its text, its first block in the text."""
+def projected(
+    ids: np.ndarray, lengths: np.ndarray, weights: np.ndarray, vectors: np.ndarray, reach: np.ndarray | None = None, least: float = 0.0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each passage: its latent vector, its full TF-IDF norm, its text, its first block in the text.
+
+    With reach (the vectors' lengths), only passages whose vector may be at least that share of the norm: the sum of its
+    words' vectors is no longer than their lengths together.
+    """
     block, first, last, owner = blocks(lengths)
     n = int(block[-1]) + 1 if len(block) else 0
-    energy = np.bincount(block, weights=weights[ids] ** 2, minlength=n)
+    weight = weights[ids]
+    energy = np.bincount(block, weights=weight**2, minlength=n)
     two = last > first
-    known = np.flatnonzero(weights[ids] > 0)
-    known = known[ids[known] < len(tables[0])]
-    own = block[known]
-    head = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(known) else known
-    out = []
-    for table in tables:
-        sums = np.zeros((n, table.shape[1]), np.float32)
-        if len(known):
-            sums[own[head]] = np.add.reduceat(table[ids[known]], head, axis=0)
-        out.append(sums[first] + np.where(two[:, None], sums[last], np.float32(0)))
     norm = np.sqrt(energy[first] + np.where(two, energy[last], 0))
+    known = np.flatnonzero(weight > 0)
+    known = known[ids[known] < len(vectors)]
+    own = block[known]
     per_text = -(-lengths // BLOCK_WORDS)
-    return out, norm, owner, first - (np.cumsum(per_text) - per_text)[owner]
+    place = first - (np.cumsum(per_text) - per_text)[owner]
+    row, n_rows = np.arange(n), n
+    if reach is not None:
+        bound = np.bincount(own, weights=reach[ids[known]], minlength=n)
+        bound = bound[first] + np.where(two, bound[last], 0)
+        able = np.flatnonzero((bound > 0) & (1.001 * bound >= least * norm))
+        first, last, two, norm, owner, place = (x[able] for x in (first, last, two, norm, owner, place))
+        wanted = np.zeros(n, bool)
+        wanted[first] = wanted[last] = True
+        row, n_rows = np.cumsum(wanted) - 1, int(wanted.sum())
+        known = known[wanted[own]]
+        own = block[known]
+    sums = np.zeros((n_rows, vectors.shape[1]), np.float32)
+    if len(known):
+        head = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        sums[row[own[head]]] = np.add.reduceat(vectors[ids[known]], head, axis=0)
+    return sums[row[first]] + np.where(two[:, None], sums[row[last]], np.float32(0)), norm, owner, place
 
 
 class _Holding:
@@ -205,7 +225,7 @@ def _ranks(times: np.ndarray) -> np.ndarray:
 
 def _frequencies(docs: DataFrame, vocabulary: list[bytes], items: list[list[bytes]]) -> tuple[np.ndarray, int, int]:
     """In how many documents each word of the vocabulary, and each bucket of other words, stands (an item's words are not
-    counted where it leaked); the number of documents; the bytes of their texts."""
+    counted where it leaked); the number of documents; the number of their passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids(vocabulary)
@@ -223,8 +243,9 @@ def _frequencies(docs: DataFrame, vocabulary: list[bytes], items: list[list[byte
                 leaked = np.unique(leaked[0] * width + leaked[1])
                 leaked = leaked[np.isin(leaked, pairs, assume_unique=True)]
                 counts[:width] -= np.bincount(leaked % width, minlength=width)
+                n_blocks = -(-lengths // BLOCK_WORDS)
+                counts[-1] += np.maximum(np.minimum(n_blocks, 1), n_blocks - 1).sum()
             counts[-2] += batch.num_rows
-            counts[-1] += sum(map(len, texts))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["word", "n"])
 
@@ -234,28 +255,49 @@ def _frequencies(docs: DataFrame, vocabulary: list[bytes], items: list[list[byte
     return counts[:-2], int(counts[-2]), int(counts[-1])
 
 
-def _sample(docs: DataFrame, vocabulary: list[bytes], total_bytes: int) -> DataFrame:
-    """About SAMPLE_PASSAGES corpus passages, as arrays of word numbers.
-
-    A document gives as many passages as its share of all bytes comes to, rounded up or down by its hash; they lie evenly
-    over the whole text. Nothing is sorted, and only the documents that give a passage leave their partition.
-    """
-    rate = SAMPLE_PASSAGES / max(1, total_bytes)
-    chance = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "text", "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    taken = docs.select("text", F.floor(F.octet_length("text") * F.lit(rate) + chance(1)).cast("int").alias("n"), chance(2).alias("at")).where("n >= 1")
+def _pairs(docs: DataFrame, vocabulary: list[bytes], weighted: np.ndarray) -> DataFrame:
+    """How often two weighted words of the vocabulary (a and b, also the same) stand together in a passage, over all passages of all documents."""
+    size = len(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: i for i, w in enumerate(vocabulary)}
-        for batch in batches:
-            rows = []
-            for text, n, at in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = words_of(text)
-                m = max(min(1, len(words)), -(-len(words) // BLOCK_WORDS) - 1)
-                for k in sorted({int((j + at) * m / n) for j in range(n)}) if m else ():
-                    rows.append([known[w] for w in words[k * BLOCK_WORDS : (k + 2) * BLOCK_WORDS] if w in known])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], names=["words"])
+        ids = _Ids(vocabulary)
+        counts = np.append(weighted, np.zeros(BUCKETS, bool))
+        pairs, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        fresh: list[np.ndarray] = []
 
-    return taken.mapInArrow(run, "words array<int>")
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            code, at = np.unique(np.concatenate([pairs, *fresh]), return_inverse=True)
+            own = np.append(times, np.ones(sum(map(len, fresh)), np.int64))
+            fresh.clear()
+            return code, np.bincount(at, weights=own, minlength=len(code)).astype(np.int64)
+
+        def found() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array((pairs // size).astype(np.int32)), pa.array((pairs % size).astype(np.int32)), pa.array(times)], names=["a", "b", "n"])
+
+        for batch in batches:
+            texts = [lowered(t) for t in batch.column(0).to_pylist()]
+            for a, b in groups_by_size([len(t) for t in texts], CHUNK_BYTES):
+                hashes, lengths = word_hashes(texts[a:b])
+                numbers = ids(hashes)
+                block, first, last, _ = blocks(lengths)
+                known = np.flatnonzero(counts[numbers])
+                word, own = numbers[known], block[known]
+                begin, end = np.searchsorted(own, first), np.searchsorted(own, last, side="right")
+                filled = np.flatnonzero(end > begin)
+                for p in range(0, len(filled), PAIRED_PASSAGES):
+                    at = filled[p : p + PAIRED_PASSAGES]
+                    n = end[at] - begin[at]
+                    one, start, many = np.repeat(begin[at], n) + _ranks(n), np.repeat(begin[at], n), np.repeat(n, n)
+                    fresh.append(word[np.repeat(one, many)] * size + word[np.repeat(start, many) + _ranks(many)])
+                    if sum(map(len, fresh)) > PAIRS:
+                        pairs, times = merged()
+                        if len(pairs) > PAIRS:
+                            yield found()
+                            pairs, times = pairs[:0], times[:0]
+        pairs, times = merged()
+        yield found()
+
+    return docs.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _passages(words: list[bytes]) -> list[list[bytes]]:
@@ -264,22 +306,25 @@ def _passages(words: list[bytes]) -> list[list[bytes]]:
     return [words[i * BLOCK_WORDS : (i + 2) * BLOCK_WORDS] for i in range(max(min(n, 1), n - 1))]
 
 
-def _products(rows: DataFrame, right: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """A^T (A right) over the sample's rows, summed by word across tasks: the size is vocabulary x rank, whatever the sample."""
+def _products(pairs: DataFrame, right: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A^T (A right) over all passages of the documents, by their pairs of words, summed by word across tasks: the size is vocabulary x rank."""
     n, width = right.shape
+    weighed = (right * weights[:, None]).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n, width), np.float64)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for words in batch.column(0).to_pylist():
-                if words:
-                    at = np.array(words)
-                    row = (right[at] * weights[at, None]).sum(axis=0)
-                    np.add.at(total, at, weights[at, None] * row[None, :])
-        used = np.flatnonzero(np.abs(total).sum(axis=1))
-        for a in range(0, len(used), 2000):
-            part = used[a : a + 2000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(list(total[part]), pa.list_(pa.float64()))], names=["word", "row"])
+            a, b, times = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            order = np.argsort(a, kind="stable")
+            a, b, times = a[order], b[order], times[order]
+            head = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
+            for word, i, j in zip(a[head].tolist(), head.tolist(), [*head[1:].tolist(), len(a)], strict=True):
+                row = times[i:j].astype(np.float64) @ weighed[b[i:j]]
+                total[word] = total[word] + row if word in total else row
+        used = list(total)
+        for k in range(0, len(used), 2000):
+            part = used[k : k + 2000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([total[w] * weights[w] for w in part], pa.list_(pa.float64()))], names=["word", "row"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -292,7 +337,7 @@ def _products(rows: DataFrame, right: np.ndarray, weights: np.ndarray) -> np.nda
 
     schema = "word int, row array<double>"
     out = np.zeros((n, width))
-    for r in rows.mapInArrow(run, schema).repartition(4, "word").mapInArrow(add, schema).toLocalIterator():
+    for r in pairs.mapInArrow(run, schema).repartition(4, "word").mapInArrow(add, schema).toLocalIterator():
         out[r.word] = r.row
     return out
 
@@ -304,18 +349,18 @@ class Frequencies:
     weights: dict[bytes, float]  # by word of an item: its weight before frequent words lose theirs, always positive
     stopped: frozenset[bytes]  # words of an item in more than COMMON of the documents
     others: np.ndarray  # the weights of the buckets of other words
-    total_bytes: int
+    n_passages: int
 
 
 def frequencies(docs: DataFrame, items: list[tuple[int, str, str]]) -> Frequencies:
     """Weights over all documents for the words of all items (id, text, answer)."""
     parsed = [(words_of(text), words_of(answer)) for _, text, answer in items]
     vocabulary = sorted({w for words, answer in parsed for w in words + answer})
-    counts, n_docs, total = _frequencies(docs, vocabulary, [words for words, _ in parsed])
+    counts, n_docs, n_passages = _frequencies(docs, vocabulary, [words for words, _ in parsed])
     weights = np.log((n_docs + 1) / (counts + 0.5))
     often = counts > max(2, COMMON * n_docs)
     others = np.where(often, 0, weights)[len(vocabulary) :]
-    return Frequencies(dict(zip(vocabulary, weights.tolist(), strict=False)), frozenset(w for w, x in zip(vocabulary, often.tolist(), strict=False) if x), others, total)
+    return Frequencies(dict(zip(vocabulary, weights.tolist(), strict=False)), frozenset(w for w, x in zip(vocabulary, often.tolist(), strict=False) if x), others, n_passages)
 
 
 def fit(docs: DataFrame, items: list[tuple[int, str, str]], counted: Frequencies, min_lcs: float = MIN_LCS) -> Basis:
@@ -336,13 +381,13 @@ def fit(docs: DataFrame, items: list[tuple[int, str, str]], counted: Frequencies
             np.add.at(total, at, own[at, None] * (right[at] * own[at, None]).sum(axis=0)[None, :])
         return total
 
-    rows = stored(_sample(docs, vocabulary, counted.total_bytes).repartition(8), "passages")
-    share = len(lines) / SAMPLE_PASSAGES / 4  # the sample shapes the basis without drowning the items
+    pairs = stored(_pairs(docs, vocabulary, own > 0).repartition("a"), "pairs")
+    share = CORPUS_SHARE * len(lines) / max(1, counted.n_passages)
     rng = np.random.default_rng(11)
     right = rng.standard_normal((len(vocabulary), min(RANK + OVERSAMPLE, len(vocabulary))))
-    q, _ = np.linalg.qr(of_items(right) + share * _products(rows, right, own))
-    image = of_items(q) + share * _products(rows, q, own)  # A^T A q: one power iteration
-    dropped(rows)
+    q, _ = np.linalg.qr(of_items(right) + share * _products(pairs, right, own))
+    image = of_items(q) + share * _products(pairs, q, own)  # A^T A q: one power iteration
+    dropped(pairs)
     q, _ = np.linalg.qr(image)
     values, inner = np.linalg.eigh(q.T @ of_items(q))
     u = q @ inner[:, np.argsort(values)[::-1][:RANK]]
@@ -350,7 +395,7 @@ def fit(docs: DataFrame, items: list[tuple[int, str, str]], counted: Frequencies
     parts = [(i, passage) for i, (_, words, _) in enumerate(parsed) for passage in _passages(words)]
     filled = [words for _, words, _ in parsed if words]
     flat = np.array([ids[w] for words in filled for w in words], dtype=np.int64)
-    (latent,), _, _, _ = projected(flat, np.array([len(words) for words in filled]), basis.weights, basis.vectors)  # passages in the order of parts
+    latent, _, _, _ = projected(flat, np.array([len(words) for words in filled]), basis.weights, basis.vectors)  # passages in the order of parts
     size = np.linalg.norm(latent, axis=1)
     good = np.flatnonzero(size > 1e-6)
     basis.passages, basis.parts = latent[good] / size[good, None], [parts[i] for i in good.tolist()]
@@ -404,7 +449,8 @@ class FrequentSearch:
     """The search for passages that have no use for the latent space: all windows, bounded exactly before the subsequence.
 
     A window that has its best subsequence starts with a word of the passage, so no other start is looked at. Its words
-    must also hold min_lcs of the passage's rarity, so that the most frequent ones cannot fill up a phrase.
+    must also hold min_lcs of the passage's rarity, so that the most frequent ones cannot fill up a phrase: it has one of
+    the rarest words that hold more than the rest of it, the passage's keys, and only the places around those are looked at.
     """
 
     def __init__(self, basis: Basis, min_cosine: float, min_lcs: float, min_answer: float) -> None:
@@ -413,6 +459,7 @@ class FrequentSearch:
         self.local = np.full(len(basis.vocabulary) + 1, -1, np.int32)  # the last place stands for words that no item has
         self.any = np.zeros(len(self.local), bool)
         self.any[[ids[w] for _, words in basis.frequent for w in words]] = True
+        keys: list[np.ndarray] = []
         self.parts = []
         for item, words in basis.frequent:
             n, distinct = len(words), sorted(set(words))
@@ -425,19 +472,43 @@ class FrequentSearch:
             energy = rarity * basis.rarity[at]
             whole = n < WHOLE_BELOW
             least = n if whole else next(k for k in range(n + 1) if k / n >= min_lcs)
+            order = np.argsort(-rarity, kind="stable")
+            keys.append(at[order[: np.searchsorted(np.cumsum(rarity[order]) / rarity.sum(), 1 - min_lcs + 1e-3, side="right") + 1]])
             self.parts.append((item, n, n if whole else n + n // 5 + 2, least, at, times, masks, rarity / rarity.sum(), energy / energy.sum(), set(basis.items[item][2])))
+        # of each word of the vocabulary the passages that it is a key of
+        word = np.concatenate([*keys, np.zeros(0, np.int64)])
+        order = np.argsort(word, kind="stable")
+        self.key_parts = np.repeat(np.arange(len(keys)), [len(k) for k in keys])[order]
+        self.keyed = np.searchsorted(word[order], np.arange(len(basis.vocabulary) + 1))
+
+    def _near(self, places: np.ndarray, known: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each passage that has a key here, and the places that may be in a window with one."""
+        at = np.flatnonzero(self.keyed[known + 1] > self.keyed[known])
+        first = self.keyed[known[at]]
+        many = self.keyed[known[at] + 1] - first
+        part, at = self.key_parts[np.repeat(first, many) + _ranks(many)], np.repeat(at, many)
+        order = np.argsort(part, kind="stable")
+        part, at = part[order], places[at[order]]
+        head = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+        for i, j in zip(head.tolist(), [*head[1:].tolist(), len(part)], strict=False):
+            width = self.parts[part[i]][2]
+            begin, end = np.searchsorted(places, at[i:j] - width, side="right"), np.searchsorted(places, at[i:j] + width)
+            fresh = np.flatnonzero(np.append(True, begin[1:] > end[:-1]))  # stretches that overlap are one
+            begin, end = begin[fresh], end[np.append(fresh[1:] - 1, len(end) - 1)]
+            yield int(part[i]), np.repeat(begin, end - begin) + _ranks(end - begin)
 
     def __call__(self, numbers: np.ndarray, lengths: np.ndarray, words: Callable[[int], list[bytes]]) -> Iterator[tuple[int, int, float, float, float]]:
         """Text, item's place, cosine, lcs and answer of each passage that is found; the texts' words lie end to end."""
         stop = np.cumsum(lengths)
         places = np.flatnonzero(self.any[np.minimum(numbers, len(self.local) - 1)])  # of words that some passage here has
         known = numbers[places]
-        for item, n, width, least, at, times, masks, rarity, energy, answer in self.parts:
+        for part, near in self._near(places, known):
+            item, n, width, least, at, times, masks, rarity, energy, answer = self.parts[part]
             self.local[at] = np.arange(len(at))
-            local = self.local[known]
+            local = self.local[known[near]]
             self.local[at] = -1
             own = np.flatnonzero(local >= 0)
-            hits, label = places[own], local[own]
+            hits, label = places[near[own]], local[own]
             carries = np.append(0, np.cumsum((rarity / times)[label]))
             end = np.searchsorted(hits, hits + width)
             # a window has no more of the passage than the words in it have, however often they stand there
@@ -482,8 +553,7 @@ def _search(docs: DataFrame, basis: Basis, min_cosine: float, min_lcs: float, mi
         basis = shared.value
         ids, checker = _Ids(basis.vocabulary), Checker(basis)
         frequent = FrequentSearch(basis, min_cosine, min_lcs, min_answer)
-        # a passage has few words with a weight: the sum of their products with an item's passage is the product of the sum
-        tables = [basis.vectors @ basis.passages.T] if 0 < len(basis.vectors) * len(basis.passages) <= PRODUCT_ENTRIES else []
+        reach = np.linalg.norm(basis.vectors, axis=1)
         for batch in batches:
             names = batch.column(0)
             rows: list[tuple] = []
@@ -493,7 +563,7 @@ def _search(docs: DataFrame, basis: Basis, min_cosine: float, min_lcs: float, mi
                 if not len(hashes):
                     continue
                 numbers = ids(hashes)
-                (latent, *products), norm, owner, first = projected(numbers, lengths, basis.weights, basis.vectors, *tables)
+                latent, norm, owner, first = projected(numbers, lengths, basis.weights, basis.vectors, reach, min_cosine * LATENT_SHARE)
                 best: dict[tuple[int, int], tuple] = {}
                 size = np.linalg.norm(latent, axis=1)
                 length = np.maximum(np.maximum(size, LATENT_SHARE * norm), 1e-6)
@@ -508,7 +578,7 @@ def _search(docs: DataFrame, basis: Basis, min_cosine: float, min_lcs: float, mi
                 step = max(64, BLOCK_COSINES // max(1, len(basis.passages)))
                 for p in range(0, len(able), step):
                     at = able[p : p + step]
-                    cosine = (products[0][at] if products else latent[at] @ basis.passages.T) / length[at, None]
+                    cosine = latent[at] @ basis.passages.T / length[at, None]
                     for i, j in zip(*np.nonzero(cosine >= min_cosine), strict=True):
                         text, item = int(owner[at[i]]), basis.parts[j][0]
                         lcs, answer = checker.check(words(text), int(first[at[i]]) * BLOCK_WORDS, int(j))

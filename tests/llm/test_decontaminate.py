@@ -72,6 +72,29 @@ def test_recall_against_brute_force(planted):
     assert len(want) > 60 and len(want & got) >= 0.9 * len(want)
 
 
+def test_the_basis_is_fitted_on_every_passage(spark, monkeypatch):
+    """The products that the SVD takes are those of all passages of all documents, short and empty ones too, however many there are."""
+    rng = random.Random(12)
+    item = invented(rng, 60)
+    texts = [" ".join(rng.choice(item) if rng.random() < 0.02 else w for w in invented(rng, rng.randint(1, 150))) for _ in range(1500)]
+    docs = spark.createDataFrame([*enumerate(texts), (-1, ""), (-2, "? !")], "doc_id long, text string").repartition(3)
+    taken, products = [], dec._products
+    monkeypatch.setattr(dec, "_products", lambda rows, right, weights: taken.append((right, weights, products(rows, right, weights))) or taken[-1][2])
+    monkeypatch.setattr(dec, "PAIRS", 50, raising=False)  # tasks pass on what they count in parts
+    items = [(0, " ".join(item), "")]
+    basis = dec.fit(docs, items, dec.frequencies(docs, items))
+    ids = {w: i for i, w in enumerate(basis.vocabulary)}
+    passages = [p for t in texts for p in dec._passages(dec.words_of(t))]
+    counts = np.zeros((len(passages), len(ids)))
+    for row, words in zip(counts, passages, strict=True):
+        np.add.at(row, [ids[w] for w in words if w in ids], 1)
+    assert len(passages) > 4500 and len(taken) == 2
+    for right, weights, got in taken:
+        weighed = counts * weights
+        want = weighed.T @ (weighed @ right)
+        assert np.abs(want).max() > 0 and np.allclose(got, want, rtol=1e-4, atol=1e-4 * np.abs(want).max())
+
+
 @pytest.mark.parametrize(("n_docs", "held"), [(200, 8), (200, 4), (50, 3), (2000, 70), (2000, 50), (90, 90)])
 def test_an_item_is_found_however_often_it_leaked(spark, n_docs, held):
     rng = random.Random(n_docs + held)
