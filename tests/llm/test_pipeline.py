@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from folioflow.llm import queries
+from folioflow.llm import decontaminate, queries, toxicity
 
 from .conftest import prose
 from .test_exact import brute_lines
@@ -104,3 +104,19 @@ def test_queries_run(spark, sf_dir, name):
         want = con.execute(queries.ORACLES[name]).df()
         key = lambda f: sorted(map(repr, f[sorted(f.columns)].astype(object).where(f[sorted(f.columns)].notna(), None).values.tolist()))
         assert key(rows) == key(want)
+
+
+def test_stages_are_fitted_on_all_that_they_get(spark, tmp_path, monkeypatch):
+    """More documents than a sample would have: the label model weighs all that are not held out, the basis all passages."""
+    n, weights, label_model, taken, products = 80_000, [], toxicity.label_model, [], decontaminate._products
+    monkeypatch.setattr(toxicity, "label_model", lambda votes, weight, *more: weights.append(weight.sum()) or label_model(votes, weight, *more))
+    monkeypatch.setattr(decontaminate, "_products", lambda rows, right, weight: taken.append((right, weight, products(rows, right, weight))) or taken[-1][2])
+    docs = spark.range(n).selectExpr("id doc_id", "concat(if(id % 9 = 0, 'vile', 'fine'), if(id % 50 = 7, ' alpha ', ' other '), id) text")
+    spark.range(n).where("id % 2 = 0").selectExpr("id doc_id", "cast(id % 9 = 0 as int) toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "alpha omega sigma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() < n
+    assert weights == [docs.where(~toxicity.held_out(docs["doc_id"])).count()]
+    assert corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).count() == n
+    for right, weight, got in taken:  # alpha is the first word, and stands alone in a fiftieth of the passages
+        assert weight[0] > 0 and got[0] == pytest.approx(n // 50 * weight[0] ** 2 * right[0], rel=1e-4)
+    assert len(taken) == 2
